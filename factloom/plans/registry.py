@@ -1,4 +1,6 @@
 """All queries by name."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import answers, capacity, matching, tables, texts
+from .model import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "answers", "capacity", "matching", "tables", "texts"]
