@@ -239,7 +239,8 @@ def look_closer(docs: DataFrame, asks: DataFrame, group_cap: int = GROUP_CAP) ->
 
     def cut(rows: DataFrame) -> DataFrame:
         asked = rows.groupBy("d", "tag").agg(F.collect_list(F.struct("k", "q", "f")).alias("asks"))
-        return docs.select("d", "tag", "text").join(asked, ["d", "tag"]).mapInArrow(cut_segments, "k long, d long, q long, f long, seg binary")
+        # All columns of docs, as in the last join, so that Spark reuses one exchange of the texts.
+        return docs.join(asked, ["d", "tag"]).mapInArrow(cut_segments, "k long, d long, q long, f long, seg binary")
 
     blocks = cut(marked.filter("crowded is null")).repartition("k").sortWithinPartitions("k").mapInArrow(block_spans, "d long, q long, c long")
     windows = settled(cut(marked.filter("crowded")).mapInArrow(hashed_windows, ROW)).filter("f = 2").select("d", "q", "c")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +23,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint()
+
+
+def release_finished(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, whose DataFrames nothing refers to any more.
+
+    Spark's cleaner does so when the driver collects its garbage, which may be long
+    after a job that used little driver memory but much disk.
+    """
+    for _ in range(2):  # the first round only lets go of Python's handles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, release_finished
 from .hashing import U, mix
 
 ROW = "k long, c long, d long, q long, f long"
@@ -126,7 +126,7 @@ def settled(rows: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, d, tag, text. ``d`` and ``tag`` stand for the row: rows alike in id and text share results."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("d"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 15)).alias("tag"), "text")
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("d"), F.xxhash64("text", F.lit(1)).bitwiseAND(0x7FFF).alias("tag"), "text")
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
@@ -151,12 +151,8 @@ def repeated_spans(docs: DataFrame, occurrences: Callable, look_closer: Callable
     ``occurrences`` maps Arrow batches (d, tag, text) to rows; ``look_closer`` takes the documents and the
     requests (d, tag, k, q, f) and returns more spans (d, q, c).
     """
-    first = settled(docs.select("d", "tag", "text").mapInArrow(occurrences, ROW))
-    tagged = first.select("d", F.pmod("q", F.lit(1 << 15)).alias("tag"), "k", "c", "q", "f")
-    # Requests and merged spans of a document together: one row each, a small table, and the only cut in the lineage.
-    span = F.when(F.col("f") == 2, F.col("c"))
-    ask = F.when(F.col("f") != 2, F.struct("k", "q", "f"))
-    per_doc = cut_lineage(_merge_rows(tagged.groupBy("d", "tag").agg(F.collect_set(span).alias("spans"), F.collect_set(ask).alias("asks"))))
+    per_doc = _first_pass(docs, occurrences)
+    release_finished(docs.sparkSession)
     asks = per_doc.filter(F.size("asks") > 0).select("d", "tag", "asks")
     more = spans_of(look_closer(docs, asks))
     known = per_doc.select("d", "tag", F.col("spans").alias("known"))
@@ -165,6 +161,14 @@ def repeated_spans(docs: DataFrame, occurrences: Callable, look_closer: Callable
     return every.select("doc_id", "text", F.concat(F.coalesce("known", none), F.coalesce("spans", none)).alias("spans"))
 
 
+def _first_pass(docs: DataFrame, occurrences: Callable) -> DataFrame:
+    """(d, tag, spans, asks): merged spans and requests of each document together, a small table; the only cut in the lineage."""
+    first = settled(docs.select("d", "tag", "text").mapInArrow(occurrences, ROW))
+    tagged = first.select("d", F.col("q").bitwiseAND(0x7FFF).alias("tag"), "k", "c", "q", "f")
+    span, ask = F.when(F.col("f") == 2, F.col("c")), F.when(F.col("f") != 2, F.struct("k", "q", "f"))
+    return cut_lineage(_merge_rows(tagged.groupBy("d", "tag").agg(F.collect_set(span).alias("spans"), F.collect_set(ask).alias("asks"))))
+
+
 def _merge_rows(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -41,12 +41,13 @@ def vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
 
 def token_spans(text: str, encoding: tiktoken.Encoding, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character spans [start, end) of the tokens; part of a character spans that character."""
-    ends = np.cumsum(lengths[np.array(encoding.encode_ordinary(text), np.int64)])
-    if len(text) == (int(ends[-1]) if len(ends) else 0):  # one byte a character
-        return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+    sizes = lengths[np.array(encoding.encode_ordinary(text), np.int64)]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    if text.isascii():  # one byte a character
+        return starts, ends
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     char = np.cumsum((raw & 0xC0) != 0x80) - 1
-    starts = np.concatenate([[0], ends[:-1]])
     return char[starts], char[ends - 1] + 1
 
 
