@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .hashing import PIECE, RunHash, U, mix
 from .repeats import ROW, identified, local_settle, merged, repeated_spans, settled, union_of, unpack
 
-WINDOW, GRAM = 200, 32
+WINDOW, GRAM = 200, 100
 BLOCK = 2 << 20
 GROUP_CAP = 2000
 _PLACE = (1 << 24) - 1
@@ -123,11 +123,11 @@ def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for length in range(1, width + 1):
         live = np.flatnonzero(lens >= length)
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        over = int((bwt == 0).sum())
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        over = len(order) - int(np.count_nonzero(bwt))
         p = place[live]
-        i = rank[p]
+        i = rank[p].astype(np.int64)
         up, down = order[i - 1], order[np.minimum(i + 1, len(order) - 1)]
         with_up, with_down = (i > 0) & (bwt[up] == bwt[p]), (i + 1 < len(order)) & (bwt[down] == bwt[p])
         above = np.zeros(len(p), np.int16)

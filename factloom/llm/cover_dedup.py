@@ -6,11 +6,11 @@ start, share an offset below V at which both places are cover positions. Only
 there are the ``ANCHOR = WINDOW - V + 1`` words from the place hashed (5 of 21
 places). Anchors meet by hash; an anchor's context, up to V - 1 words to either
 side, holds every window through it, so equal contexts settle all of them at once.
-Where one anchor has several contexts, their windows are extended and compared
-whole: a window joins the others with the same anchor at the same offset.
+Where one anchor has several contexts, the match is extended: the windows of those
+contexts are compared whole, each place of a document once.
 
-Equality is that of two independent 64-bit hashes (anchor and context, anchor and
-window), as for any fingerprint of long strings.
+Equality is that of two independent 64-bit hashes (of anchor and context, or both
+of the window), as for any fingerprint of long strings.
 
 Defined results: a null text has no words; a text shorter than a window is kept
 whole; a window that repeats within its own document counts; rows alike in id and
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import PIECE, RunHash, U, mix, word_hashes
-from .repeats import ROW, identified, local_settle, repeated_spans, settled, union_of
+from .repeats import ROW, identified, local_settle, repeated_spans, settled, union_of, unpack
 
 WINDOW = 35
 #: Perfect difference set modulo 21.
@@ -59,17 +59,17 @@ class WordChunk:
         c = mix(self.two(lo, hi) + mix((g - lo) << 8 | (hi - g)))
         return k, c, doc, lo - base, hi - lo, g - lo
 
-    def windows(self, doc: np.ndarray, k: np.ndarray, start: np.ndarray, length: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Every window of the given contexts that holds the anchor whole: k, c, document, start, length, offset, request."""
-        n = length - WINDOW + 1
-        n = np.maximum(n, 0)
+    def windows(self, doc: np.ndarray, start: np.ndarray, length: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Every window of the given contexts, each place once: k, c (both of the window), document, start, length, offset, several."""
+        n = np.maximum(length - WINDOW + 1, 0)
         ask = np.repeat(np.arange(len(doc)), n)
-        at = np.arange(len(ask)) - np.repeat(np.cumsum(n) - n, n)
-        i = self.base[doc[ask]] + start[ask] + at
-        shift = offset[ask] - at
-        keys = mix(k[ask].view(U) + mix(shift + V))
-        zero = np.zeros(len(ask), np.int64)
-        return keys, mix(self.two(i, i + WINDOW)), doc[ask], start[ask] + at, zero + WINDOW, zero, ask
+        i = self.base[doc[ask]] + start[ask] + np.arange(len(ask)) - np.repeat(np.cumsum(n) - n, n)
+        i, first, back = np.unique(i, return_index=True, return_inverse=True)
+        any_several = np.zeros(len(i), np.int64)
+        np.maximum.at(any_several, back, several[ask])
+        doc = doc[ask[first]]
+        zero = np.zeros(len(i), np.int64)
+        return mix(self.one(i, i + WINDOW)), mix(self.two(i, i + WINDOW)), doc, i - self.base[doc], zero + WINDOW, zero, any_several
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -98,18 +98,15 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Requests with their texts in; the windows of the requested contexts out, as occurrences."""
-    from .repeats import unpack
-
     for batch in batches:
         parts = []
         for at, texts in chunks(batch):
             chunk = WordChunk(texts)
             asks = batch.column("asks").slice(at, len(texts))
             flat, doc = asks.flatten(), np.repeat(np.arange(len(texts)), np.array([len(a) for a in asks]))
-            k, q, f = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("k", "q", "f"))
-            start, length, offset, _ = unpack(q.copy())
-            keys, c, where, *rest, ask = chunk.windows(doc, k.copy(), start, length, offset)
-            parts.append((keys, c, where + at, *rest, f[ask]))
+            start, length, _, _ = unpack(flat.field("q").to_numpy(zero_copy_only=False).copy())
+            k, c, where, *rest = chunk.windows(doc, start, length, flat.field("f").to_numpy(zero_copy_only=False))
+            parts.append((k, c, where + at, *rest))
         *rows, several = _together(parts, 7)
         yield local_settle(*rows, batch.column("d").to_numpy(), batch.column("tag").to_numpy(), several.astype(bool))
 
