@@ -75,3 +75,23 @@ def relation_wiring(plays: DataFrame, relates: DataFrame, order: list[str]) -> D
 
 def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame([], df.schema)
+
+
+def value_types(owned: DataFrame, declared: DataFrame) -> DataFrame:
+    """(type_name, attr, value_type) with the names used for storage; unknown types are stored as strings."""
+    kind = F.col("value_type")
+    name = F.when(kind.isin("boolean", "double", "string", "long"), kind).when(kind == "integer", "long").when(kind == "decimal", "double").when(kind.isin("date", "datetime", "datetime-tz"), "datetime").otherwise("string")
+    return owned.join(declared, "attr").select("type_name", "attr", name.alias("value_type"))
+
+
+def child_bearing(extracted: DataFrame, parents: DataFrame) -> DataFrame:
+    """(ptype, has_children): whether any extracted type of a provision type plays a parent's role."""
+    known = parents.select("type_name").distinct().withColumn("_parent", F.lit(True))
+    return extracted.distinct().join(known, "type_name", "left").groupBy("ptype").agg(F.coalesce(F.bool_or("_parent"), F.lit(False)).alias("has_children"))
+
+
+def resolved_subtype(declared: Column, names: list[str]) -> Column:
+    """``declared`` if it is one of ``names``, else the first that contains it, else the first; null counts as empty."""
+    said, known = F.coalesce(declared, F.lit("")), F.array(*map(F.lit, sorted(names))).cast("array<string>")
+    holding = F.filter(known, lambda n: F.contains(n, said))
+    return F.when(F.array_contains(known, said), said).otherwise(F.coalesce(F.try_element_at(holding, F.lit(1)), F.try_element_at(known, F.lit(1))))
