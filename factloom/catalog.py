@@ -95,3 +95,48 @@ def resolved_subtype(declared: Column, names: list[str]) -> Column:
     said, known = F.coalesce(declared, F.lit("")), F.array(*map(F.lit, sorted(names))).cast("array<string>")
     holding = F.filter(known, lambda n: F.contains(n, said))
     return F.when(F.array_contains(known, said), said).otherwise(F.coalesce(F.try_element_at(holding, F.lit(1)), F.try_element_at(known, F.lit(1))))
+
+
+def field_classes(owned: DataFrame, closure: DataFrame, shared: DataFrame) -> DataFrame:
+    """(type_name, subtype, attr): fields to extract; a subtype's row holds what it has beside the type's own.
+
+    Keys and the attributes of ``shared`` (provenance) are no fields; ``subtype`` is null for the type's own.
+    """
+    fields = owned.filter(~F.coalesce("is_key", F.lit(False))).join(shared.select("attr"), "attr", "left_anti").select("type_name", "attr").distinct()
+    below = closure.filter("depth > 0").select(F.col("super").alias("type_name"), F.col("sub").alias("subtype"))
+    more = below.join(fields.withColumnRenamed("type_name", "subtype"), "subtype").join(fields, ["type_name", "attr"], "left_anti")
+    return fields.withColumn("subtype", F.lit(None).cast("string")).unionByName(more).select("type_name", "subtype", "attr")
+
+
+def relation_config(closure: DataFrame, relates: DataFrame, plays: DataFrame, provision_types: list[str], entity_root: str, child_root: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(relation, tier, parent_role, child_role, parent_relation): how a relation's rows are stored.
+
+    Tier 1 hangs an entity on a provision (one role beside the general ones), tier 2
+    hangs a child on a tier-1 entity (two roles, one of them known from tier 1), tier 3
+    is any other relation in which a provision plays one of two roles. Ties go to the
+    first provision type, then the first name; relations of other shapes are left out.
+    """
+
+    def roles(root: str, *general: str) -> DataFrame:
+        below = closure.filter((F.col("super") == root) & (F.col("depth") > 0)).select(F.col("sub").alias("relation"))
+        named = below.join(relates.select(F.col("rel_type").alias("relation"), "role"), "relation").filter(~F.col("role").isin(*general))
+        return named.groupBy("relation").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+
+    def rows(df: DataFrame, tier: int, parent, child, via) -> DataFrame:
+        return df.select("relation", F.lit(tier).alias("tier"), parent.alias("parent_role"), child.alias("child_role"), via.cast("string").alias("parent_relation"))
+
+    first_role, second_role = F.col("roles")[0], F.col("roles")[1]
+    first = rows(roles(entity_root, "provision", "extracted").filter(F.size("roles") == 1), 1, F.lit("provision"), first_role, F.lit(None))
+    holders = first.groupBy(F.col("child_role").alias("held")).agg(F.min("relation").alias("via"))
+    pairs = roles(child_root, "parent", "child").filter(F.size("roles") == 2)
+    under = pairs.withColumn("held", F.explode("roles")).join(holders, "held").groupBy("relation", "roles").agg(F.min(F.struct("held", "via")).alias("p"))
+    second = rows(under, 2, F.col("p.held"), F.when(first_role == F.col("p.held"), second_role).otherwise(first_role), F.col("p.via"))
+    rank = F.array_position(F.array(*map(F.lit, provision_types)), F.col("type_name"))
+    played = plays.filter(F.col("type_name").isin(*provision_types)).groupBy(F.col("rel_type").alias("relation")).agg(F.min(F.struct(rank.alias("rank"), "role"))["role"].alias("held"))
+    known = first.unionByName(second).select("relation")
+    rest = played.join(known, "relation", "left_anti")
+    if skip:
+        rest = rest.filter(~F.col("relation").isin(*skip))
+    other = rest.join(relates.select(F.col("rel_type").alias("relation"), "role"), "relation").filter((F.col("role") != F.col("held")) & ~F.col("role").isin("extracted", "parent", "child"))
+    third = rows(other.groupBy("relation", "held").agg(F.collect_set("role").alias("roles")).filter(F.size("roles") == 1), 3, F.col("held"), first_role, F.lit(None))
+    return first.unionByName(second).unionByName(third)
