@@ -68,3 +68,41 @@ def test_values(spark):
     df = spark.createDataFrame([("b_two",), ("two",), ("zz",), ("",), (None,)], "d string").coalesce(1)
     assert [r[0] for r in df.select(catalog.resolved_subtype(F.col("d"), ["b_two", "a_one"])).collect()] == ["b_two", "b_two", "a_one", "a_one", "a_one"]
     assert [r[0] for r in df.select(catalog.resolved_subtype(F.col("d"), [])).collect()] == [None] * 5
+
+
+def test_field_classes(spark):
+    sub = spark.createDataFrame([("b", "a"), ("c", "b")], "sub string, super string")
+    owns = spark.createDataFrame([("a", "a_id", True), ("a", "x", None), ("b", "y", False), ("c", "x", False), ("c", "page", False), ("z", "page", False)], "type_name string, attr string, is_key boolean")
+    closure = catalog.type_closure(sub)
+    shared = spark.createDataFrame([("page",)], "attr string")
+    rows = catalog.field_classes(catalog.owned_attributes(owns, closure), closure, shared).collect()
+    own = {("a", None, "x"), ("b", None, "x"), ("b", None, "y"), ("c", None, "x"), ("c", None, "y")}
+    assert {tuple(r) for r in rows} == own | {("a", "b", "y"), ("a", "c", "y")} and len(rows) == 7
+    assert catalog.field_classes(catalog.owned_attributes(owns.limit(0), closure), closure, shared).count() == 0
+
+
+def test_relation_config(spark):
+    sub = spark.createDataFrame([("has_item", "holds"), ("has_box", "holds"), ("two_items", "holds"), ("item_part", "bears"), ("lone_part", "bears")], "sub string, super string")
+    roles = {
+        "holds": ["provision", "extracted"],
+        "has_item": ["provision", "extracted", "item"],
+        "has_box": ["provision", "item"],
+        "two_items": ["provision", "extracted", "p", "q"],
+        "item_part": ["parent", "child", "item", "bit"],
+        "lone_part": ["parent", "child", "other", "bit"],
+        "limits": ["owner", "bound", "extracted"],
+        "wide": ["owner", "s", "t"],
+        "infra": ["owner", "s"],
+    }
+    relates = spark.createDataFrame([(r, x) for r, xs in roles.items() for x in xs], "rel_type string, role string")
+    plays = spark.createDataFrame([("mfn", "limits", "bound"), ("rp", "limits", "owner"), ("rp", "wide", "owner"), ("rp", "infra", "owner"), ("rp", "has_item", "provision")], "type_name string, rel_type string, role string")
+    closure = catalog.type_closure(sub)
+    expected = {
+        ("has_item", 1, "provision", "item", None),
+        ("has_box", 1, "provision", "item", None),
+        ("item_part", 2, "item", "bit", "has_box"),
+        ("limits", 3, "owner", "bound", None),
+    }
+    rows = lambda *a, **k: {tuple(r) for r in catalog.relation_config(closure, relates, plays, ["rp", "mfn"], "holds", "bears", *a, **k).collect()}
+    assert rows(skip=("infra",)) == expected
+    assert rows() == expected | {("infra", 3, "owner", "s", None)}
