@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, pii, piece_bpe, simhash
+from factloom.llm import decontaminate, langid, pii, piece_bpe, shingles, simhash
 from factloom.llm.common import read_table
 from factloom.llm.queries import tokenizer_path
 
@@ -35,6 +35,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
+def similar_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each class of texts whose five-word shingles are 0.8 similar: that of the smallest (doc_id, text hash), null ids last."""
+    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    roots = shingles.similar_classes(rows, "_node")
+    named = rows.select("doc_id", "_node").join(roots, F.col("_node") == F.col("node"), "left").select("doc_id", "_node", F.coalesce("root", "_node").alias("_root"))
+    first = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node")).alias("f"))
+    kept = first.select(F.col("f.doc_id").alias("_id"), F.col("f._node").alias("_kept"))
+    once = rows.join(kept, (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return once.dropDuplicates(["doc_id", "_node"]).select(*COLUMNS)
+
+
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, exactly or with up to a fifth of its words edited."""
     hits = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -53,7 +64,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
-    ("near_copies", near_copies),
+    ("near_copies", similar_copies),
     ("benchmark_passages", benchmark_passages),
     ("personal_data", personal_data),
     ("pieces", pieces),

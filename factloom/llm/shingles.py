@@ -1,0 +1,91 @@
+"""Near copies by the Jaccard similarity of word shingles, found by prefixes and verified.
+
+A text stands for the set of the hashes of its five-word shingles (one shingle, where
+it has fewer words). Two sets with a similarity of at least ``t`` share one of the
+least ``n - ceil(t * n) + 1`` hashes of either (its *prefix*), so prefixes are the join
+keys. What two prefixes share, and what may follow the shorter reach, bounds the overlap;
+pairs under the bound are passed over, the others are compared by their whole sets.
+
+Keys join distinct texts, so exact copies cost nothing. Keys with more than
+``KEY_CAP`` texts would make pairs with the square of a group: their members are compared
+with leaders only, those of the least and the greatest text hash, of the most crowded
+keys, and (under a text's first ``LED_KEYS`` crowded keys) one drawn for the key. A pair
+is missed only if all keys it shares are crowded and no chain of other links joins it.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut_lineage
+from .simhash import components
+
+WORDS, SEED, SIMILARITY, KEY_CAP, LED_KEYS = 5, 42, 0.8, 128, 8
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, as signed 64-bit numbers."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    rows = zip(*(tokens[i:] for i in range(words)), strict=False) if len(tokens) >= words else [tokens]
+    n = max(1, len(tokens) - words + 1)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, rows), repeat(SEED)), "<u8", n).view(np.int64))
+
+
+def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _sets(texts: DataFrame, words: int, similarity: float | None) -> DataFrame:
+    """(node, n, last, hashes) for every (node, text): the prefix, or the whole set without a similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t.as_py() or "", words) for t in part.column(1)]
+                kept = [s[: prefix_length(len(s), similarity)] if similarity else s for s in sets]
+                ends = np.cumsum([0, *map(len, kept)])
+                hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(k[-1]) for k in kept], pa.int64()), hashes], ["node", "n", "last", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, last long, hashes array<long>")
+
+
+def similar_pairs(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, key_cap: int = KEY_CAP) -> DataFrame:
+    """Links (a, b) of nodes whose shingle sets are as similar; ``texts`` is (node, text), repeats allowed."""
+    prefixes = cut_lineage(_sets(texts, words, similarity))
+    keyed = prefixes.select("node", F.explode("hashes").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low"), F.max("node").alias("high")).filter("m > 1")
+    members = cut_lineage(keyed.join(shared, "key"))
+    small, crowd = members.filter(F.col("m") <= key_cap), members.filter(F.col("m") > key_cap)
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b", F.lit(1).alias("c"))
+    own = crowd.groupBy("node").agg((F.sum("m") / F.count(F.lit(1))).alias("weight"), F.slice(F.array_sort(F.collect_list("key")), 1, LED_KEYS).alias("first"))
+    weighed = cut_lineage(crowd.select("node", "key").join(own, "node"))
+    leads = weighed.groupBy("key").agg(F.array(F.min("node"), F.max("node"), F.max_by("node", F.struct("weight", "node")), F.min_by("node", F.xxhash64("key", "node"))).alias("leads"))
+    near = weighed.join(leads, "key").select("node", F.explode(F.when(F.array_contains("first", F.col("key")), F.col("leads")).otherwise(F.slice("leads", 1, 3))).alias("lead"))
+    led = near.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), F.lit(0).alias("c"))
+    both = pairs.unionByName(led).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    facts = prefixes.groupBy("node").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.max(F.size("hashes")).alias("p")).join(crowd.groupBy("node").agg(F.count(F.lit(1)).alias("crowded")), "node", "left").na.fill(0, ["crowded"])
+    side = lambda s: facts.select(F.col("node").alias(s), F.struct("last", "n", "p", "crowded").alias(f"f{s}"))
+    facing = both.join(side("a"), "a").join(side("b"), "b").withColumn("short", F.least("fa", "fb"))
+    most = F.col("c") + F.col("short.crowded") + F.col("short.n") - F.col("short.p")
+    like = (F.least("fa.n", "fb.n") >= F.greatest("fa.n", "fb.n") * similarity - 1e-9) & (most >= (F.col("fa.n") + F.col("fb.n")) * (similarity / (1 + similarity)) - 1e-9)
+    likely = cut_lineage(facing.filter(like).select("a", "b"))
+    met = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    whole = cut_lineage(_sets(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), words, None).select("node", "hashes"))
+    sets = likely.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return sets.filter(common >= (F.size("x") + F.size("y") - common) * similarity - 1e-9).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, node: str, text_col: str = "text", **tuning) -> DataFrame:
+    """(node, root) for every node with a link; ``node`` names a column that is a hash of the text."""
+    return components(similar_pairs(docs.select(F.col(node).alias("node"), F.col(text_col).alias("text")), **tuning))
