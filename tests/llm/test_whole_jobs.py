@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from factloom.llm import shingles
+from factloom.llm import piece_bpe, queries, shingles
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
@@ -62,3 +62,26 @@ def test_near_copies_in_crowds(spark, monkeypatch):
     assert got() == want
     monkeypatch.setattr(shingles.similar_pairs, "__defaults__", (*shingles.similar_pairs.__defaults__[:2], 20))
     assert want <= (some := got()) and len(some - want) <= 3  # over the cap only leaders are compared
+
+
+def test_every_batch_of_pieces_is_checked(spark, monkeypatch):
+    class Wrong(piece_bpe.PieceCoder):
+        def word(self, w):
+            return ("5", 1, b"x")
+
+    class Docs:
+        """Stands for a table; runs the mapped function here, where the coder is replaced."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            import pyarrow as pa
+
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["a wrong coder"])], ["doc_id", "text"])])))
+
+    monkeypatch.setattr(piece_bpe, "coder", Wrong)
+    monkeypatch.setattr(queries, "read_table", lambda *_: Docs())
+    for job in (lambda: queries.op10_pieces(spark, ""), lambda: dict(corpus_pipeline.STAGES)["pieces"](spark, Docs(), "")):
+        with pytest.raises(ValueError, match="differs from the library"):
+            job()
