@@ -48,8 +48,9 @@ def similar_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, exactly or with up to a fifth of its words edited."""
-    hits = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    hits = decontaminate.contaminated(keyed, read_table(spark, sf_dir, "benchmark"), id_col="_row")
+    return keyed.join(hits.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,14 @@ def test_every_batch_of_pieces_is_checked(spark, monkeypatch):
     for job in (lambda: queries.op10_pieces(spark, ""), lambda: dict(corpus_pipeline.STAGES)["pieces"](spark, Docs(), "")):
         with pytest.raises(ValueError, match="differs from the library"):
             job()
+
+
+def test_stages_with_null_and_repeated_ids(spark, monkeypatch):
+    rnd = random.Random(3)
+    a, b, c, item = (" ".join(f"{x}{rnd.randrange(999)}" for _ in range(40)) for x in "abci")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_copies"](spark, frame(spark, [(None, a), (None, a), (None, b), (1, c), (1, "other words"), (2, c), (None, c)]), "")
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in near.collect()) == sorted([(-1, a), (-1, b), (1, c), (1, "other words")])
+    monkeypatch.setattr(corpus_pipeline, "read_table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
+    clean = stages["benchmark_passages"](spark, frame(spark, [(None, item), (None, a), (1, b), (1, f"{c} {item}"), (2, None)]), "")
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in clean.collect()) == sorted([(-1, a), (1, b), (2, "")])
