@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import PIECE, RunHash, U, mix
+from .hashing import PIECE, SEEDS, RunHash, U, byte_units, mix
 from .repeats import ROW, identified, local_settle, merged, repeated_spans, settled, union_of, unpack
 
 WINDOW, GRAM = 200, 100
@@ -74,10 +74,9 @@ def segments(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(p[2]) for p in parts])
     if len(buf) < WINDOW:
         return (*[np.zeros(0, U)] * 2, *[np.zeros(0, np.int64)] * 4)
-    units = buf.astype(U) + U(1)
-    one, two = RunHash(units, 0), RunHash(units, 1)
+    one, two = RunHash(byte_units(buf, SEEDS[0]), GRAM, 8), RunHash(byte_units(buf, SEEDS[1]), 2 * WINDOW, 8)
     at = np.arange(len(buf) - GRAM + 1)
-    grams = mix(one(at, at + GRAM))
+    grams = one(at, at + GRAM)
     least = sliding_min(grams & U(~_PLACE & (1 << 64) - 1) | at.astype(U), WINDOW - GRAM + 1)
     anchor = (least & U(_PLACE)).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -226,7 +225,7 @@ def hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         start, _, offset, tag = unpack(batch.column("q").to_numpy().copy())
         i = first[row] + at
-        c = mix(RunHash(buf.astype(U) + U(1), 1)(i, i + WINDOW))
+        c = RunHash(byte_units(buf, SEEDS[1]), WINDOW, 8)(i, i + WINDOW)
         k = mix(batch.column("k").to_numpy().view(U)[row] + mix(offset[row] - at + WINDOW))
         f = batch.column("f").to_numpy()
         yield local_settle(k, c, row, start[row] + at, np.full(len(row), WINDOW), np.zeros(len(row), np.int64), batch.column("d").to_numpy(), tag, f[row].astype(bool))

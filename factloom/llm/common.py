@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,22 +14,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (local tests) a folder of our own is used.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset, a folder
+    of our own is used on a local master (tests), and an error is raised on a cluster.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def release_finished(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, whose DataFrames nothing refers to any more.
-
-    Spark's cleaner does so when the driver collects its garbage, which may be long
-    after a job that used little driver memory but much disk.
-    """
-    for _ in range(2):  # the first round only lets go of Python's handles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set where it was not."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set")
+            folder = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()

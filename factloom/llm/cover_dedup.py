@@ -10,7 +10,8 @@ Where one anchor has several contexts, the match is extended: the windows of tho
 contexts are compared whole, each place of a document once.
 
 Equality is that of two independent 64-bit hashes (of anchor and context, or both
-of the window), as for any fingerprint of long strings.
+of the window), as for any fingerprint of long strings; they have no seed in common
+from the words' bytes on.
 
 Defined results: a null text has no words; a text shorter than a window is kept
 whole; a window that repeats within its own document counts; rows alike in id and
@@ -27,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .hashing import PIECE, RunHash, U, mix, word_hashes
+from .hashing import PIECE, SEEDS, U, mix, run_hashes, word_hashes
 from .repeats import ROW, identified, local_settle, repeated_spans, settled, union_of, unpack
 
 WINDOW = 35
 #: Perfect difference set modulo 21.
 V, COVER = 21, (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - V + 1
+#: The longest context: an anchor and V - 1 words to either side.
+CONTEXT = ANCHOR + 2 * (V - 1)
 _IS_COVER = np.isin(np.arange(V), COVER)
 
 
@@ -42,10 +45,9 @@ class WordChunk:
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        starts, words = word_hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8))
+        starts, self.one, self.two = word_hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), SEEDS)
         self.base = np.searchsorted(starts, np.cumsum(sizes) - sizes)
-        self.count = np.diff(np.append(self.base, len(words)))
-        self.one, self.two = RunHash(words, 0), RunHash(words, 1)
+        self.count = np.diff(np.append(self.base, len(starts)))
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         """k, c, document, start, length, offset of every anchor context."""
@@ -55,8 +57,8 @@ class WordChunk:
         g = np.flatnonzero(_IS_COVER[place % V] & (place + ANCHOR <= n) & (n >= WINDOW))
         doc, base = doc[g], self.base[doc[g]]
         lo, hi = np.maximum(g - V + 1, base), np.minimum(g + ANCHOR + V - 1, base + n[g])
-        k = mix(self.one(g, g + ANCHOR))
-        c = mix(self.two(lo, hi) + mix((g - lo) << 8 | (hi - g)))
+        k = run_hashes(self.one, g, g + ANCHOR, CONTEXT)
+        c = mix(run_hashes(self.two, lo, hi, CONTEXT) + mix((g - lo) << 8 | (hi - g)))
         return k, c, doc, lo - base, hi - lo, g - lo
 
     def windows(self, doc: np.ndarray, start: np.ndarray, length: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -69,7 +71,8 @@ class WordChunk:
         np.maximum.at(any_several, back, several[ask])
         doc = doc[ask[first]]
         zero = np.zeros(len(i), np.int64)
-        return mix(self.one(i, i + WINDOW)), mix(self.two(i, i + WINDOW)), doc, i - self.base[doc], zero + WINDOW, zero, any_several
+        one, two = (run_hashes(words, i, i + WINDOW, CONTEXT) for words in (self.one, self.two))
+        return one, two, doc, i - self.base[doc], zero + WINDOW, zero, any_several
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:

@@ -110,7 +110,7 @@ class Items:
             self.words[row, : len(w)] = w
             length = min(LONGEST_RUN, len(w) // (int(self.limits[row]) + 1))
             at = np.arange(len(w) - length + 1)
-            runs.setdefault(length, []).extend((k, row, o) for o, k in enumerate(mix(RunHash(w, 0)(at, at + length)).view(np.int64).tolist()))
+            runs.setdefault(length, []).extend((k, row, o) for o, k in enumerate(RunHash(w, LONGEST_RUN)(at, at + length).view(np.int64).tolist()))
         #: run length -> sorted run hashes with the item and offset of each
         self.runs = {n: np.array(sorted(v), np.int64).T.copy() for n, v in runs.items()}
         keys = np.concatenate([sample_keys(self.words[i : i + AT_ONCE], self.sizes[i : i + AT_ONCE], self.longest) for i in range(0, len(split), AT_ONCE)])
@@ -124,7 +124,7 @@ class Items:
             if len(words) < length:
                 continue
             at = np.arange(len(words) - length + 1)
-            own = mix(RunHash(words, 0)(at, at + length)).view(np.int64)
+            own = RunHash(words, LONGEST_RUN)(at, at + length).view(np.int64)
             lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             hit = np.flatnonzero(hi > lo)
             n = (hi - lo)[hit]
@@ -203,7 +203,7 @@ def _hit_documents(table: Items, words: np.ndarray, base: np.ndarray) -> list[in
     for length, (keys, _, _) in table.runs.items():
         if len(words) >= length:
             at = np.arange(len(words) - length + 1)
-            own = mix(RunHash(words, 0)(at, at + length)).view(np.int64)
+            own = RunHash(words, LONGEST_RUN)(at, at + length).view(np.int64)
             i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit[np.searchsorted(base, np.flatnonzero(keys[i] == own), "right") - 1] = True
     return np.flatnonzero(hit).tolist()

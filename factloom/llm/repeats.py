@@ -8,7 +8,10 @@ equal k with different c asks for a closer look at those contexts only.
 
 Copies are settled before the shuffle: an Arrow batch that holds an occurrence
 twice marks both at once and sends one row for all, so a group of copies costs a
-row a batch, however large it is.
+row a batch, however large it is. Rows leave in page order, so that what a document's
+rows have in common compresses. Keys with very many different contexts (found in a
+sample of the documents) are spread over tasks by context: equal contexts still meet,
+and all others of such a key are looked at closer in any case.
 
 Row layout (all long): k, c, d, q, f. ``d`` is a hash of id and text, which
 stands for the row; q packs start (32 bits), length (9), anchor offset (8) and 15
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, release_finished
+from .common import cut_lineage
 from .hashing import U, mix
 
 ROW = "k long, c long, d long, q long, f long"
 NAMES = ["k", "c", "d", "q", "f"]
+SAMPLE, HOT_LEAST = 64, 50
 
 
 def pack(start: np.ndarray, length: np.ndarray, offset: np.ndarray, tag: np.ndarray) -> np.ndarray:
@@ -61,12 +65,14 @@ def local_settle(k: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarra
     counts = np.diff(np.append(first, len(k)))
     again = np.repeat(counts > 1, counts)
     f = ((counts > 1) | (np.logical_or.reduceat(several, first) if len(first) else False)).astype(np.int64)
+    page = np.argsort(order[first])
     spans = [np.zeros(0, np.int64)] * 3
     if hit := np.flatnonzero(again & ~several).tolist():
         h = np.array(hit)
         base = doc[h] << 33  # documents apart, so that spans of two never touch
         s, e = merged(start[h] + base, start[h] + length[h] + base)
         spans = [s >> 33, s & ((1 << 33) - 1), e & ((1 << 33) - 1)]
+    first, f = first[page], f[page]
     where, s, e = spans
     zero = np.zeros(len(where), np.int64)
     columns = (
@@ -79,9 +85,10 @@ def local_settle(k: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in columns], NAMES)
 
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def settle(batches: Iterator[pa.RecordBatch], hot: np.ndarray = np.zeros(0, np.int64)) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (k, c) in; out: spans (f 2) of repeated contexts, and requests (f 0 one, f 1 several) for
-    occurrences whose anchor has other contexts too. Needs the row before and the row after, no more."""
+    occurrences whose anchor has other contexts too (one stands for equal contexts). Needs the row before and the
+    row after, no more. Contexts of ``hot`` keys are taken to have others, in other tasks."""
     held, before = np.zeros((5, 0), np.int64), None
 
     def decide(rows: np.ndarray, last: bool) -> pa.RecordBatch:
@@ -93,7 +100,10 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev_k, prev_c = np.append(edge[0], same_k)[: len(k)], np.append(edge[1], same_c)[: len(k)]
         next_k, next_c = np.append(same_k, False), np.append(same_c, False)
         alike = (prev_c | next_c[: len(k)] | (rows[4] == 1))[:n]
+        # Of a run of equal contexts the first and the last stand for all.
         mixed = ((prev_k & ~prev_c) | (next_k & ~next_c)[: len(k)])[:n]
+        if len(hot):
+            mixed |= np.isin(k[:n], hot) & ~prev_c[:n]
         done = rows[:, :n]
         spans, asks = done[:, alike & (done[4] == 0)].copy(), done[:, mixed].copy()
         start, length, _, tag = unpack(spans[3].copy())
@@ -118,9 +128,21 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield decide(held, last=True)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """One shuffle by anchor, then ``settle`` over each sorted partition."""
-    return rows.repartition("k").sortWithinPartitions("k", "c").mapInArrow(settle, ROW)
+def settled(rows: DataFrame, hot: list[int] = ()) -> DataFrame:
+    """One shuffle by anchor (and context, for ``hot`` anchors), then ``settle`` over each sorted partition."""
+    keys = np.array(sorted(hot), np.int64)
+    spread = [F.when(F.col("k").isin(keys.tolist()), F.col("c"))] if len(keys) else []
+    return rows.repartition("k", *spread).sortWithinPartitions("k", "c").mapInArrow(lambda batches: settle(batches, keys), ROW)
+
+
+def hot_keys(docs: DataFrame, occurrences: Callable, share: int = SAMPLE, least: int = HOT_LEAST) -> list[int]:
+    """Keys with so many contexts in a sample of the documents (one of ``share``, by hash) that one task should not have them all.
+
+    The 4,096 most frequent at most. They change where rows go, not the result.
+    """
+    rows = docs.filter(F.pmod(F.xxhash64("d"), F.lit(share)) == 0).select("d", "tag", "text").mapInArrow(occurrences, ROW).filter("f < 2")
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return [r["k"] for r in counted.orderBy(F.desc("n"), "k").limit(4096).collect()]
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,7 +174,6 @@ def repeated_spans(docs: DataFrame, occurrences: Callable, look_closer: Callable
     requests (d, tag, k, q, f) and returns more spans (d, q, c).
     """
     per_doc = _first_pass(docs, occurrences)
-    release_finished(docs.sparkSession)
     asks = per_doc.filter(F.size("asks") > 0).select("d", "tag", "asks")
     more = spans_of(look_closer(docs, asks))
     known = per_doc.select("d", "tag", F.col("spans").alias("known"))
@@ -163,7 +184,7 @@ def repeated_spans(docs: DataFrame, occurrences: Callable, look_closer: Callable
 
 def _first_pass(docs: DataFrame, occurrences: Callable) -> DataFrame:
     """(d, tag, spans, asks): merged spans and requests of each document together, a small table; the only cut in the lineage."""
-    first = settled(docs.select("d", "tag", "text").mapInArrow(occurrences, ROW))
+    first = settled(docs.select("d", "tag", "text").mapInArrow(occurrences, ROW), hot_keys(docs, occurrences))
     tagged = first.select("d", F.col("q").bitwiseAND(0x7FFF).alias("tag"), "k", "c", "q", "f")
     span, ask = F.when(F.col("f") == 2, F.col("c")), F.when(F.col("f") != 2, F.struct("k", "q", "f"))
     return cut_lineage(_merge_rows(tagged.groupBy("d", "tag").agg(F.collect_set(span).alias("spans"), F.collect_set(ask).alias("asks"))))

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import audio, bwt_dedup, cover_dedup, decontaminate, html_text, langid, pii, piece_bpe, queries, simhash, tokens
+from factloom.llm import audio, bwt_dedup, cover_dedup, decontaminate, html_text, langid, pii, piece_bpe, queries, repeats, simhash, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -89,8 +89,15 @@ def kept_words(texts, n=35):
         yield len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_cover_dedup(spark, seed):
+def hot_everywhere(monkeypatch, on):
+    """Takes every key that is in two contexts for a crowded one."""
+    if on:
+        monkeypatch.setattr(repeats.hot_keys, "__defaults__", (1, 2))
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(1, False), (2, False), (1, True)])
+def test_cover_dedup(spark, seed, hot, monkeypatch):
+    hot_everywhere(monkeypatch, hot)
     texts = planted(seed)
     got = {r[0]: tuple(r)[1:4] for r in cover_dedup.cut_words(frame(spark, texts)).collect()}
     assert got == dict(enumerate(kept_words(texts)))
@@ -108,8 +115,9 @@ def kept_bytes(texts, n=200):
         yield len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone, strict=True) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize(("seed", "cap"), [(1, bwt_dedup.GROUP_CAP), (2, 3)])
-def test_bwt_dedup(spark, seed, cap, monkeypatch):
+@pytest.mark.parametrize(("seed", "cap", "hot"), [(1, bwt_dedup.GROUP_CAP, False), (2, 3, False), (1, bwt_dedup.GROUP_CAP, True)])
+def test_bwt_dedup(spark, seed, cap, hot, monkeypatch):
+    hot_everywhere(monkeypatch, hot)
     monkeypatch.setattr(bwt_dedup.look_closer, "__defaults__", (cap,))
     texts = planted(seed)
     got = {r[0]: tuple(r)[1:5] for r in bwt_dedup.cut_bytes(frame(spark, texts)).collect()}

@@ -96,3 +96,46 @@ def test_stages_with_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "read_table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
     clean = stages["benchmark_passages"](spark, frame(spark, [(None, item), (None, a), (1, b), (1, f"{c} {item}"), (2, None)]), "")
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in clean.collect()) == sorted([(-1, a), (1, b), (2, "")])
+
+
+def thue_morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a[:n]
+
+
+def test_repetitive_words_and_bytes_do_not_collide(spark):
+    import numpy as np
+
+    from factloom.llm import bwt_dedup, cover_dedup, hashing
+
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"c{i}" for i in range(34))
+    rows = cover_dedup.cut_words(frame(spark, [(1, f"{common} {one}"), (2, f"{common} {other}")])).collect()
+    assert [(r["n_words"], r["n_removed"]) for r in rows] == [(35, 0)] * 2
+    rows = bwt_dedup.cut_bytes(frame(spark, [(1, one), (2, other)])).collect()
+    assert [r["n_removed"] for r in rows] == [2048 if one[:200] in other else 0] * 2
+    words = [f"{x}{y}" for x in ("", "a", "b" * 7, "c" * 8, "d" * 9, "e" * 127, "f" * 128, "g" * 129, "h" * 3000) for y in "xyz"]
+    _, *got = hashing.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8), hashing.SEEDS)
+    assert len(set(np.concatenate(got).tolist())) == 2 * len(words)
+    _, alone = hashing.word_hashes(np.frombuffer(words[-1].encode(), np.uint8))
+    assert alone[0] == got[0][-1]
+
+
+def test_run_hashes_are_of_the_run_alone():
+    import numpy as np
+
+    from factloom.llm import hashing
+
+    rng = np.random.default_rng(0)
+    units = rng.integers(0, 4, 3 * hashing.STEP).astype(np.uint64)
+    i = np.sort(rng.integers(0, len(units) - 60, 3000))
+    j = i + rng.integers(1, 56, 3000)
+    got = hashing.run_hashes(units, i, j, 55)
+    seen = {}
+    for a, b, h in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+        assert seen.setdefault(units[a:b].tobytes(), h) == h
+    assert len(set(got.tolist())) == len(seen)
+    assert (got == hashing.RunHash(units, 55)(i, j)).all()
