@@ -32,3 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="ckpt")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a table that is not needed any more, in whatever store Spark has it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ RAW = frozenset("script style textarea title noscript iframe template svg math x
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"br", "body", "html", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption div section article main body".split())
+MIXED = frozenset("div section article main body".split())
+COMMAS = ",、،，"
 DROPPED = frozenset("script style noscript iframe template svg math nav footer aside form button select option input textarea object embed head dialog menu canvas audio video map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 IMPLIED = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
@@ -36,6 +39,11 @@ NEGATIVE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|comments?|disqus|respond|replies|reply|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|sidebar\w*|side|widget\w*|aside|menu\w*|nav\w*|breadcrumbs?|pager|pagination|share\w*|sharing|social\w*|related|recommend\w*|footer|masthead|topbar|toolbar|skip|hidden|print)(?=$|[\s_-])|(?:^|[\s_-])header(?=$|[\s_-])",
     re.I,
 )
+#: Inside an article only whole names that can be nothing else take an element out; the words above cost it points.
+STRONG = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|adsense|sponsored|promo|banner|comments?|comments?[_-](?:list|section|area|form|thread)|disqus\w*|cookies?|(?:cookie|consent)[_-](?:notice|banner|bar)|newsletter|(?:newsletter|signup|subscribe)[_-](?:form|box)|sidebar|side[_-]?bar|breadcrumbs?|pagination|share|(?:share|social)[_-](?:bar|buttons|links)|social|related|(?:related|recommended)[_-](?:posts|articles|links|stories)|menu|nav|navbar|navigation|hidden)(?=$|\s)",
+    re.I,
+)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|main|page|post\w*|text|story|blog)(?=$|[\s_-])", re.I)
 #: What a container starts with.
 START = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "body": 0.0}
@@ -44,13 +52,17 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+def commas(text: str) -> int:
+    return sum(map(text.count, COMMAS))
+
+
 class Node:
-    __slots__ = ("children", "name", "parent", "points", "dropped", "chars", "linked")
+    __slots__ = ("children", "name", "parent", "points", "dropped", "chars", "linked", "commas")
 
     def __init__(self, name: str, parent: Node | None, points: float = 0.0, dropped: bool = False):
         self.name, self.parent, self.points, self.dropped = name, parent, points, dropped
         self.children: list[Node | str] = []
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.commas = 0
 
 
 def _judge(name: str, attributes: str, inside_article: bool) -> tuple[float, bool]:
@@ -59,8 +71,10 @@ def _judge(name: str, attributes: str, inside_article: bool) -> tuple[float, boo
     if attributes and not dropped:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        if NEGATIVE.search(names) and name not in ("html", "body", "article", "main"):
+        if name not in ("html", "body", "article", "main") and (STRONG if inside_article else NEGATIVE).search(names):
             dropped = True
+        elif inside_article and NEGATIVE.search(names):
+            points -= 25
         elif POSITIVE.search(names):
             points += 25
         style = found.get("style", "").replace(" ", "").lower()
@@ -69,9 +83,17 @@ def _judge(name: str, attributes: str, inside_article: bool) -> tuple[float, boo
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and texts; unclosed and crossing tags are closed as browsers do in the common cases."""
+    """A tree of elements and texts; unclosed and crossing tags are closed as browsers do in the common cases.
+
+    ``opened`` counts the open elements by name, so that the stack is searched only for what is in it.
+    """
     root = Node("html", None)
-    stack, at, end, articles = [root], 0, len(page), 0
+    stack, at, end, opened = [root], 0, len(page), Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
     while at < end:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
@@ -84,34 +106,34 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    articles -= sum(n.name in ("article", "main") for n in stack[i:])
-                    del stack[i:]
-                    break
-                if name not in BLOCKS and stack[i].name in BARRIERS:
-                    break
+            if opened[name]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name:
+                        close(i)
+                        break
+                    if name not in BLOCKS and stack[i].name in BARRIERS:
+                        break
             continue
-        if name in ("html", "body") and any(n.name == name for n in stack[1:]):
+        if name in ("html", "body") and opened[name]:
             continue
-        if name in ENDS_P or name in IMPLIED:
-            closes = IMPLIED.get(name, frozenset({"p"}))
+        closes = IMPLIED.get(name, frozenset()) | ({"p"} if name in ENDS_P else frozenset())
+        if any(opened[c] for c in closes):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in closes or (stack[i].name == "p" and name in ENDS_P):
-                    del stack[i:]
+                if stack[i].name in closes:
+                    close(i)
                     break
                 if stack[i].name in BARRIERS:
                     break
-        node = Node(name, stack[-1], *_judge(name, m[3] or "", articles > 0))
+        node = Node(name, stack[-1], *_judge(name, m[3] or "", opened["article"] + opened["main"] > 0))
         stack[-1].children.append(node)
         if name in RAW:
-            close = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-            raw, at = page[at : close.start() if close else end], close.end() if close else end
+            end_tag = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            raw, at = page[at : end_tag.start() if end_tag else end], end_tag.end() if end_tag else end
             if not node.dropped:
                 node.children.append(html.unescape(raw))
         elif name not in VOID and not (m[3] or "").rstrip().endswith("/"):
             stack.append(node)
-            articles += name in ("article", "main")
+            opened[name] += 1
     return root
 
 
@@ -129,24 +151,25 @@ def walk(root: Node) -> Iterator[tuple[Node | str, Node | None, bool]]:
 
 
 def score(root: Node) -> list[Node]:
-    """Counts text and linked text of every element and passes the paragraphs' points on; returns the containers."""
+    """Counts text, linked text and commas of every element on the way up, and passes the paragraphs' points on; returns the containers."""
     links, containers = 0, {}
     for child, parent, leaving in walk(root):
         if isinstance(child, str):
             n = len(child.strip())
             parent.chars += n
             parent.linked += n * (links > 0)
+            parent.commas += commas(child)
         elif not leaving:
             links += child.name == "a"
         else:
             links -= child.name == "a"
             if child.name in PARAGRAPHS and child.parent:
-                own = " ".join(c for c in child.children if isinstance(c, str)) if child.name in ("div", "section", "article", "main", "body") else None
-                size = child.chars if own is None else len(own.strip())
-                if size >= 25 or (own is None and size):
-                    text = own if own is not None else "".join(c for c, _, _ in walk(child) if isinstance(c, str))
-                    points = 1 + sum(text.count(x) for x in ",،、，") + min(size / 100, 3)
-                    up = child.parent if own is None else child
+                mixed = child.name in MIXED  # these have paragraphs of their own: only the text right in them counts
+                own = " ".join(c for c in child.children if isinstance(c, str)) if mixed else ""
+                size = len(own.strip()) if mixed else child.chars
+                if size >= 25 or (size and not mixed):
+                    points = 1 + (commas(own) if mixed else child.commas) + min(size / 100, 3)
+                    up = child if mixed else child.parent
                     for level, share in ((up, 1.0), (up.parent, 0.5)):
                         if level is not None:
                             level.points += points * share
@@ -154,6 +177,7 @@ def score(root: Node) -> list[Node]:
             if parent is not None:
                 parent.chars += child.chars
                 parent.linked += child.linked
+                parent.commas += child.commas
     return list(containers.values())
 
 

@@ -16,17 +16,21 @@ every document is ``und``. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 PROFILE, DOCUMENT = 400, 300
 PER_LANGUAGE = 2000
 PIECE = 1 << 20
-_OTHER = re.compile(r"[\W\d_]+")
+#: Numerals that a pattern's word class takes for letters (as superscript two or Roman eight).
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_OTHER = re.compile(rf"[\W_{_NUMERALS}]+")
 BLANK = np.int64(0x20)
 
 
@@ -80,8 +84,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return {k: np.array(v, np.int64) for k, v in profiles.items()}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", length: int = DOCUMENT) -> DataFrame:
-    """doc_id, lang_pred, score in 0..1 (1 less the distance as a share of the longest) for every row."""
+def labelled(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", length: int = DOCUMENT) -> DataFrame:
+    """``docs`` with lang_pred and score in 0..1 (1 less the distance as a share of the longest); no shuffle."""
     names = sorted(profiles)
     sides = [(p[o := np.argsort(p)], o) for p in (profiles[n] for n in names)]
 
@@ -100,10 +104,18 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = [one(t.as_py()) for t in batch.column(text_col)]
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score"])
+
+    rows = docs.drop("lang_pred", "score")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", length: int = DOCUMENT) -> DataFrame:
+    """doc_id, lang_pred, score for every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return labelled(rows, profiles, "text", length).select("doc_id", "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -124,20 +124,21 @@ class PieceCoder:
     def _text(raw: bytes) -> str:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        parts = self.parts(text)
-        ids = ",".join([p[0] for p in parts])
-        decoded = self._text(b"".join([p[2] for p in parts]))
-        return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-
-    def check(self, texts: list[str]) -> None:
+    def coded(self, texts: list[str], verify: bool) -> Iterator[tuple[str, int, str]]:
+        """Ids as text, their number and the decoded text of each text; with ``verify``, held against the library."""
         for at in range(0, len(texts), 100):
             some = texts[at : at + 100]
-            for text, ids in zip(some, self.lib.encode(some, num_threads=1), strict=True):
+            held = self.lib.encode(some, num_threads=1) if verify else [None] * len(some)
+            for text, ids in zip(some, held, strict=True):
                 parts = self.parts(text)
-                own, raw = ",".join([p[0] for p in parts]), b"".join([p[2] for p in parts])
-                if own != ",".join(map(str, ids)) or self._text(raw) != self.lib.decode(ids):
+                own, decoded = ",".join([p[0] for p in parts]), self._text(b"".join([p[2] for p in parts]))
+                if verify and (own != ",".join(map(str, ids)) or decoded != self.lib.decode(ids)):
                     raise ValueError(f"differs from the library: {text[:200]!r}")
+                yield own, sum([p[1] for p in parts]), decoded
+
+    def check(self, texts: list[str]) -> None:
+        for _ in self.coded(texts, verify=True):
+            pass
 
 
 _CODERS: dict[str, PieceCoder] = {}
@@ -154,12 +155,10 @@ def _over(docs: DataFrame, path: str, id_col: str, text_col: str, verify: bool,
         c = coder(path)
         names = [f.strip().split(" ")[0] for f in schema.split(",")]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if verify:
-                c.check(texts)
-            for at in range(0, len(texts), 500):
-                rows = [one(c, t) for t in texts[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), *(pa.array(x) for x in zip(*rows, strict=True))], names)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [one(*found) for found in c.coded([t or "" for t in part.column(1).to_pylist()], verify)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in zip(*rows, strict=True))], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -167,13 +166,16 @@ def _over(docs: DataFrame, path: str, id_col: str, text_col: str, verify: bool,
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """doc_id, ids array<int>, decoded string for every row."""
 
-    def one(c: PieceCoder, text: str):
-        ids = c.encode(text)
-        return pa.scalar(ids, pa.list_(pa.int32())), c.decode(ids)
+    def one(ids: str, _: int, decoded: str):
+        return pa.scalar([int(i) for i in ids.split(",")] if ids else [], pa.list_(pa.int32())), decoded
 
     return _over(docs, model_path, id_col, text_col, verify, one, "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; ids never leave the worker."""
-    return _over(docs, model_path, id_col, text_col, verify, PieceCoder.digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def one(ids: str, n: int, decoded: str):
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    return _over(docs, model_path, id_col, text_col, verify, one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

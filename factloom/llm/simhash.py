@@ -15,6 +15,16 @@ distance. The members of larger buckets are linked exactly without pairs: two
 words are within two bits of each other exactly if they share a word one flip
 away, so each is filed under its 65 neighbours and tied to the least member there.
 
+``similar_classes`` links texts by the Jaccard similarity of their five-word shingles
+instead. A similarity of 0.8 leaves about a seventh of the bits different, so it takes a
+longer fingerprint: 11 segments of 23 bits, of which two that decode to a common
+codeword index make a candidate. At the similarity 0.8 a segment has such an index with
+about 0.55, two of eleven with 0.998; ``FAR`` differing bits of 256 are passed by chance
+once in 10**5. Candidates are verified by their whole shingle sets. First every text is
+compared with a few leaders of its groups (texts under one index of one segment), which
+ties crowds of near copies without pairs; then all candidates between different classes
+are verified, however large a group is.
+
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other. Repeated rows stay as rows of one
 class; a null id stays a row and never is the smallest id (null if no other is).
@@ -35,9 +45,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
+from .hashing import LENGTH, U, mix
 
 WORDS, SEED, BITS = 3, 42, 2
 BUCKET_CAP = 32
+LIKE_WORDS, SIMILARITY = 5, 0.8
+#: Segments of 23 bits of a long fingerprint, the most differing bits of a candidate, leaders a text is compared with.
+PARTS, FAR, NEAREST = 11, 64, 4
+#: Bits of the table that passes over texts without a candidate, and pairs of a group held at once.
+SLOTS, AT_ONCE = 1 << 24, 1 << 21
+STRETCH = np.arange(1, 5, dtype=U) * LENGTH
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0xAE3
 #: (shift, width) of the segments.
@@ -159,3 +176,172 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(tree, distinct.fp == tree.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingles(text: str, words: int = LIKE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (the whole sequence, where it has fewer words), as signed 64-bit numbers."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    rows = zip(*(tokens[i:] for i in range(words)), strict=False) if len(tokens) >= words else [tokens]
+    n = max(1, len(tokens) - words + 1)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, rows), repeat(SEED)), "<u8", n).view(np.int64))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256 majority bits of a set of shingle hashes, each stretched to four words."""
+    ones, n = np.zeros(256, np.int64), len(hashes)
+    for at in range(0, n, 1 << 14):
+        part = hashes[at : at + (1 << 14)].view(U)
+        wide = mix(part[:, None] + STRETCH)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        full = len(bits) // 128 * 128  # sums of 128 bits fit a byte
+        ones += np.add.reduce(bits[:full].reshape(-1, 128, 256), axis=1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def parts_of(fp: np.ndarray) -> np.ndarray:
+    """(n, PARTS) segments of (n, 4) fingerprints."""
+    at = 23 * np.arange(PARTS)
+    low = fp[:, at // 64] >> (at % 64).astype(U)
+    high = np.where(at % 64 > 41, fp[:, np.minimum(at // 64 + 1, 3)] << (-at % 64).astype(U), U(0))
+    return ((low | high) & U((1 << 23) - 1)).astype(np.uint32)
+
+
+def part_indices(fp: np.ndarray) -> np.ndarray:
+    """(n, PARTS, 6) codeword indices of the segments, each with its segment's number above it."""
+    own = codeword_indices(parts_of(fp).ravel()).reshape(len(fp), PARTS, 6)
+    return own.astype(np.int64) | (np.arange(PARTS) << 12)[None, :, None]
+
+
+def long_fingerprints(texts: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
+    """(node, n, a, b, c, d) for every (node, text): the number of shingles and the fingerprint's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(t.as_py() or "", words) for t in batch.column(1))
+            rows = np.array([(len(s), *long_fingerprint(s).view(np.int64).tolist()) for s in sets], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T)], ["node", "n", "a", "b", "c", "d"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, a long, b long, c long, d long")
+
+
+def leader_pairs(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every text and the nearest of the four leaders of each of its groups (the least and the greatest text hash, twice)."""
+    keys = F.pandas_udf(lambda a, b, c, d: pd.Series(list(part_indices(np.stack([x.to_numpy().view(U) for x in (a, b, c, d)], axis=1)).reshape(len(a), -1))), "array<long>")
+    keyed = prints.select("*", F.explode(F.array_distinct(keys("a", "b", "c", "d"))).alias("g"))
+    turned = lambda c: F.col(c).bitwiseXOR(F.xxhash64("g"))
+    ends = keyed.select("g", "node", turned("node").alias("t")).groupBy("g").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.min("t").alias("t1"), F.max("t").alias("t2"))
+    leads = ends.select("g", F.explode(F.array_distinct(F.array("l1", "l2", turned("t1"), turned("t2")))).alias("node"))
+    # 4 leaders for each of 11 * 4096 groups at most, however many texts there are.
+    known = leads.join(prints, "node").select("g", *[F.col(c).alias(f"lead_{c}") for c in prints.columns])
+    bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in "abcd")
+    met = keyed.join(F.broadcast(known), "g").filter("node <> lead_node").select("node", F.col("lead_node").alias("lead"), bits.alias("bits"), "n", "lead_n")
+    near = met.filter((F.col("bits") <= FAR) & (F.least("n", "lead_n") >= F.greatest("n", "lead_n") * similarity - 1e-9))
+    best = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "lead"))), 1, NEAREST).alias("best"))
+    return best.select("node", F.explode("best.lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, part: int, similarity: float) -> np.ndarray:
+    """Pairs (i << 32 | j) of a group's texts in different classes, which share an index of a later segment and are near."""
+    m, out = len(comp), [np.zeros(0, np.int64)]
+    if m < 2 or (comp == comp[0]).all():
+        return out[0]
+    later = part_indices(fp)[:, part + 1 :].reshape(m, -1)
+    by_comp = comp.argsort(kind="stable")
+    entries = np.unique(later * m + by_comp.argsort()[:, None])
+    key, who = entries // m, by_comp[entries % m]
+    # Within an index the texts lie by class: each meets those of the classes after its own.
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new_comp = new_key | np.concatenate([[True], comp[who[1:]] != comp[who[:-1]]])
+    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(new))[np.cumsum(new) - 1]
+    first, last = ends(new_comp), ends(new_key)
+    count = last - first
+    cuts = np.unique([0, *np.searchsorted(np.cumsum(count), np.arange(AT_ONCE, int(count.sum()), AT_ONCE)), len(count)]).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        c = count[lo:hi]
+        i = np.repeat(who[lo:hi], c)
+        j = who[np.repeat(first[lo:hi], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        like = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9
+        i, j = i[like], j[like]
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= FAR
+        out.append(np.unique(i[near] << 32 | j[near]))
+    return np.unique(np.concatenate(out))
+
+
+def candidate_pairs(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all candidates of ``prints`` (node, comp, n, a to d) between different classes."""
+    names = ["g", "node", "comp", "n", "a", "b", "c", "d"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                rows = np.stack([c.to_numpy() for c in batch.slice(at, 5000).columns])
+                g = part_indices(np.ascontiguousarray(rows[3:].T).view(U))[:, :-1].reshape(rows.shape[1], -1)
+                each = np.unique(g + (np.arange(rows.shape[1]) << 32)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array((each & 0xFFFFFFFF).astype(np.int32)), *map(pa.array, rows[:, each >> 32])], names)
+
+    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def solve() -> pa.RecordBatch:
+            rows = np.concatenate(held, axis=1)
+            pairs = cross_pairs(rows[2], rows[3], np.ascontiguousarray(rows[4:].T).view(U), int(rows[0, 0]) >> 12, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(rows[1, pairs >> 32]), pa.array(rows[1, pairs & 0xFFFFFFFF])], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns]).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(rows[0])) + 1
+            for k, some in enumerate(np.split(rows, cuts, axis=1)):
+                if held and (k or held[0][0, 0] != some[0, 0]):
+                    yield solve()
+                    held = []
+                if some.shape[1]:
+                    held.append(some)
+        if held:
+            yield solve()
+
+    keyed = prints.select(*names[1:]).mapInArrow(spread, "g int, node long, comp long, n long, a long, b long, c long, d long")
+    pairs = keyed.repartition("g").sortWithinPartitions("g").mapInArrow(collide, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = LIKE_WORDS) -> DataFrame:
+    """Those of ``pairs`` whose whole shingle sets are as similar.
+
+    Only texts that may be in a pair are cut into shingles: a table of ``SLOTS`` bits goes to the tasks, whose size
+    is bounded however many pairs there are; what it passes in vain the join drops.
+    """
+    met = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    slot = F.pmod("node", F.lit(SLOTS))
+    bits = met.select((slot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    table = np.zeros(SLOTS // 64, U)
+    for r in bits.collect():  # SLOTS / 64 rows at most
+        table[r["w"]] = np.int64(r["v"]).view(U)
+    sent = pairs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % SLOTS
+            some = batch.take(pa.array(np.flatnonzero(sent.value[at >> 6] >> (at & 63).astype(U) & U(1))))
+            for k in range(0, some.num_rows, 500):
+                part = some.slice(k, 500)
+                sets = [shingles(t.as_py() or "", words) for t in part.column(1)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "hashes"])
+
+    whole = cut_lineage(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>").join(met, "node", "left_semi").dropDuplicates(["node"]))
+    side = lambda c, name: whole.select(F.col("node").alias(c), F.col("hashes").alias(name))
+    sets = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return sets.filter(common >= (F.size("x") + F.size("y") - common) * similarity - 1e-9).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, node: str, text_col: str = "text", similarity: float = SIMILARITY, words: int = LIKE_WORDS) -> DataFrame:
+    """(node, root) for every node with a link; ``node`` names a column that is a hash of the text."""
+    texts = docs.select(F.col(node).alias("node"), F.col(text_col).alias("text"))
+    every = long_fingerprints(texts, words)
+    prints = cut_lineage(every.groupBy("node").agg(*[F.max(c).alias(c) for c in every.columns[1:]]))
+    led = cut_lineage(similar_pairs(cut_lineage(leader_pairs(prints, similarity)), texts, similarity, words))
+    classed = prints.join(components(led), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    more = similar_pairs(cut_lineage(candidate_pairs(classed, similarity)), texts, similarity, words)
+    return components(led.unionByName(more))

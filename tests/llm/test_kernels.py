@@ -136,31 +136,60 @@ def test_merged_spans():
     assert list(zip(s.tolist(), e.tolist())) == [(1, 6), (9, 12)]
 
 
+def edited_words(rnd, words, n, kinds="sid"):
+    words = list(words)
+    for _ in range(n):
+        kind, p = rnd.choice(kinds), rnd.randrange(len(words))
+        if kind == "s":
+            words[p] = b"z%d" % rnd.getrandbits(60)
+        elif kind == "i":
+            words.insert(p, b"z%d" % rnd.getrandbits(60))
+        elif len(words) > 1:
+            del words[p]
+    return words
+
+
+def held(table, words):
+    return {m[0] for m in table.matches(decontaminate.word_hashes(np.frombuffer(b" ".join(words), np.uint8))[1], words)}
+
+
 def test_decontamination_recall_against_brute_force():
     rows = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
-    table = decontaminate.Items([(r["item_id"], r["text"]) for r in rows])
+    (table,) = decontaminate.tables([(r["item_id"], r["text"]) for r in rows])
     rnd, total, found = random.Random(3), 0, 0
     for case in range(150):
         k = rnd.randrange(len(table.ids))
         n, limit = int(table.sizes[k]), int(table.limits[k])
-        w = table.words[k, :n].tolist()
-        for _ in range(rnd.randrange(limit + 1)):
-            kind, p = rnd.random(), rnd.randrange(len(w))
-            if kind < 0.4:
-                w[p] = rnd.getrandbits(64)
-            elif kind < 0.7:
-                w.insert(p, rnd.getrandbits(64))
-            else:
-                del w[p]
-        pad = [rnd.getrandbits(64) for _ in range(40)]
-        doc = np.array(pad + w + pad, np.uint64)
+        pad = [[b"z%d" % rnd.getrandbits(60) for _ in range(40)] for _ in range(2)]
+        words = [*pad[0], *edited_words(rnd, table.raw[k], rnd.randrange(limit + 1)), *pad[1]]
+        doc = decontaminate.word_hashes(np.frombuffer(b" ".join(words), np.uint8))[1]
         view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(doc, n))
         edits = decontaminate.edit_distances(view, np.repeat(table.words[k : k + 1, :n], len(view), 0), np.array([limit]))
         if edits.min() <= limit:
             total += 1
-            found += k in {m[0] for m in table.matches(doc)}
+            found += k in held(table, words)
     assert total > 80 and found >= 0.97 * total
-    assert all(not table.matches(np.array([rnd.getrandbits(64) for _ in range(200)], np.uint64)) for _ in range(5))
+    assert not any(held(table, [b"z%d" % rnd.getrandbits(60) for _ in range(200)]) for _ in range(5))
+
+
+@pytest.mark.parametrize(("size", "kinds"), [(300, "s"), (300, "sid"), (600, "s")])
+def test_decontamination_of_long_items(size, kinds):
+    rnd, found, total = random.Random(size), 0, 0
+    item = [b"w%d" % rnd.randrange(5000) for _ in range(size)]
+    (table,) = decontaminate.tables([(1, b" ".join(item).decode())])
+    for _ in range(8):
+        words = edited_words(rnd, item, size // 10 if "i" in kinds else size // 5, kinds)
+        total += 1
+        found += held(table, [b"a"] * 30 + words + [b"b"] * 30) == {0}
+    assert found >= total - 1
+
+
+def test_decontamination_of_short_items_and_document_ends():
+    tables = decontaminate.tables([(1, "Two words"), (2, "one"), (3, " ".join(f"w{i}" for i in range(40)))])
+    (table,) = tables
+    assert held(table, b"here are two words".split()) == {0} and held(table, b"two other words".split()) == set()
+    assert held(table, [b"one"]) == {1}
+    assert held(table, [b"w%d" % i for i in range(40) if i != 7]) == {2}  # one word fewer than the item, and nothing around it
 
 
 def test_edit_distance_band():
@@ -210,3 +239,94 @@ def test_grams_and_ranks():
     assert dict(zip(codes.tolist(), n.tolist()))[ord("a") << 21 | ord("b")] == 2
     assert len(langid.grams("123 !? ")[0]) == 0
     assert len(langid.top(codes, n, 3)) == 3
+
+
+def test_numerals_are_no_letters():
+    assert all(not len(langid.grams(t)[0]) for t in ("²", "½ ³", "Ⅷ", "٣", "_", "৪ 12"))
+    assert len(langid.grams("a² é")[0]) and len(langid.grams("日本")[0])
+
+
+def test_article_parts_with_suspicious_names_stay():
+    long = "Plain text of the article, long enough, with commas. " * 3
+    page = f'<body><div class="side">away, away, away, and away again</div><article><div class="entry-header"><h1>Headline</h1></div><p>{long}</p><section id="related-work"><p>{long}</p></section><div class="side"><p>{long}</p></div><div class="comments"><p>A reader, wrote, this, and more</p></div><div class="related-posts">more, to, read</div></article></body>'
+    got = html_text.main_text(page)
+    assert got == " ".join(["Headline", long.strip(), long.strip(), long.strip()])
+
+
+def test_deep_pages_are_quick():
+    import time
+
+    began = time.perf_counter()
+    for name in ("blockquote", "li", "td", "b", "div"):
+        page = "".join(f"<{name}>a, b " for _ in range(20_000))
+        assert html_text.main_text(f"<p>x{page}").count("a, b") == 20_000
+        html_text.main_text(page + "</i></p></zz>" * 20_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_scores_of_random_trees():
+    """Points by their definition, recursively, against the counts on the way up."""
+    rnd = random.Random(8)
+
+    def build(parent, depth):
+        for _ in range(rnd.randrange(4)):
+            if rnd.random() < 0.5:
+                parent.children.append(rnd.choice(["a, b, c", " ", "some words that are longer, than a few", "x" * rnd.randrange(300)]))
+            elif depth:
+                node = html_text.Node(rnd.choice("p div td li a b section h2 span article".split()), parent, float(rnd.randrange(3)), rnd.random() < 0.1)
+                parent.children.append(node)
+                build(node, depth - 1)
+
+    def nodes(node):
+        yield node
+        for c in node.children:
+            if isinstance(c, html_text.Node) and not c.dropped:
+                yield from nodes(c)
+
+    def strings(node, linked=False):
+        for c in node.children:
+            if isinstance(c, str):
+                yield c, linked or node.name == "a"
+            elif not c.dropped:
+                yield from strings(c, linked or node.name == "a")
+
+    for _ in range(150):
+        root = html_text.Node("body", html_text.Node("html", None))
+        build(root, 6)
+        want = {id(n): n.points for n in nodes(root)}
+        for n in nodes(root):
+            if n.name not in html_text.PARAGRAPHS:
+                continue
+            mixed = n.name in ("div", "section", "article", "main", "body")
+            parts = [c for c in n.children if isinstance(c, str)] if mixed else [s for s, _ in strings(n)]
+            size = len(" ".join(parts).strip()) if mixed else sum(len(s.strip()) for s in parts)
+            if size >= 25 or (size and not mixed):
+                points, up = 1 + "".join(parts).count(",") + min(size / 100, 3), n if mixed else n.parent
+                for level, share in ((up, 1), (up.parent, 0.5)):
+                    if level is not None and id(level) in want:
+                        want[id(level)] += points * share
+        html_text.score(root)
+        for n in nodes(root):
+            assert abs(n.points - want[id(n)]) < 1e-9
+            assert n.chars == sum(len(s.strip()) for s, _ in strings(n))
+        assert root.linked == sum(len(s.strip()) for s, linked in strings(root) if linked)
+
+
+def test_log_mel_by_definition():
+    """Frames, window, transform and triangles of a short clip, term by term."""
+    samples = bytes(random.Random(3).randrange(256) for _ in range(1152))
+    mel, energy = audio.features(samples)
+    y = audio.resample((np.array(list(samples), np.float32) - 128) / 128).astype(float)
+    size, hop = audio.WINDOW, audio.HOP
+    y = np.append(y, np.zeros(size))
+    to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [to_hz(to_mel(audio.RATE / 2) * k / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    for f in range(len(mel)):
+        frame = [y[f * hop + t] * (0.5 - 0.5 * np.cos(2 * np.pi * t / (size - 1))) for t in range(size)]
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * t / size) for t, v in enumerate(frame))) ** 2 for k in range(size // 2 + 1)]
+        for m in range(audio.MELS):
+            lo, mid, hi = edges[m : m + 3]
+            total = sum(p * max(0.0, min((hz - lo) / (mid - lo), (hi - hz) / (hi - mid))) for k, p in enumerate(power) for hz in [k * audio.RATE / size])
+            assert abs(mel[f, m] - np.log(total + 1e-6)) < 1e-2
+        assert abs(energy[f] - 10 * np.log10(np.mean(np.square(frame)) + 1e-9)) < 1e-2
+    assert len(mel) == -(-(len(samples) * 2 // 3 - size) // hop) + 1

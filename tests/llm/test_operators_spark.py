@@ -170,6 +170,49 @@ def test_pii_bootstrap_discovers_unseen_values(spark):
     assert got[5]["spans"] == "" and got[6]["spans"] == ""
 
 
+def test_pii_contexts_between_slots_and_rounds(spark):
+    """Words between slots count, contexts are whole words, and values of one round are support of the next."""
+    cards = "4111111111111111 5105105105105100 4012888888881881 5555555555554444 6011111111111117 6011000990139424 3530111333300000 3566002020360505".split()
+    far, new = "x" * 61, [f"99887766554{i}" for i in (4, 5, 6)]
+    texts = [f"room 12 card {c} paid" for c in cards] + [f"{far}words used {c} then" for c in cards]
+    cases = [(f"room 7 card {v} paid", 12) for v in new]
+    cases += [(f"{far}words used 112233445566 then", 72), ("ywords used 665544332211 at last", 12)]
+    # The first pattern makes three values known; another has these alone, and a new one.
+    cases += [(f"refund for {v} soon", 11) for v in (*new, "123123123123")]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(frame(spark, texts + [t for t, _ in cases])).collect()}
+    assert [got[len(texts) + i] for i in range(len(cases))] == [f"card:{at}:{at + 12}" for _, at in cases]
+
+
+def test_pii_planted_identifiers(spark):
+    """Unseen identifiers in six contexts among other numbers: recall and precision of what the bootstrap adds."""
+    rnd = random.Random(7)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 8)))
+
+    def luhn(body):
+        total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(body[::-1]))
+        return body + str(-total % 10)
+
+    seed = {"phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "card": lambda: luhn("4" + digits(14)), "email": lambda: f"{word()}{digits(1)}@{word()}.org"}
+    unseen = {"phone": lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", "card": lambda: "9" + digits(11), "email": lambda: f"{word()}{digits(1)}@{word()}"}
+    contexts = {"phone": ("call me at", "phone number is"), "card": ("charged to card", "account no."), "email": ("write to", "mail address")}
+    texts, want = [], set()
+    for i in range(900):
+        kind = rnd.choice(sorted(contexts))
+        lead, plain = rnd.choice(contexts[kind]), rnd.random() < 0.7
+        text = " ".join(word() for _ in range(rnd.randrange(8))) + f" {lead} "
+        value = (seed if plain else unseen)[kind]()
+        if not plain:
+            want.add((i, kind, len(text), len(text) + len(value)))
+        text += value + " " + " ".join(word() for _ in range(rnd.randrange(8)))
+        texts.append(text + (f" {word()} {digits(rnd.randrange(6, 14))} {word()}" if i % 2 else ""))
+    got = set()
+    for r in pii.span_digests(frame(spark, texts)).collect():
+        base = {f"{k}:{s}:{e}" for k, s, e in base_finds(texts[r["doc_id"]])}
+        got |= {(r["doc_id"], k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x and x not in base)}
+    assert len(want) > 200 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
 def test_redaction(spark):
     texts = [None, "", "mail a@b.co or +1 (988) 555-2485.", "é a@b.co", "é a@b.co"]
     got = {r["doc_id"]: r["text"] for r in pii.redacted(frame(spark, texts)).collect()}
@@ -222,11 +265,59 @@ def test_language_held_out(spark, sf):
 
 def test_language_edges(spark):
     profiles = {"en": langid.top(*langid.grams("the cat and the dog"), 400)}
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame(spark, [None, "", "12 !", "the"]), profiles).collect()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame(spark, [None, "", "12 ! ² ½ Ⅷ", "the"]), profiles).collect()}
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] == "en" and 0 < got[3][1] <= 1
     assert {r["lang_pred"] for r in langid.predict(frame(spark, ["the"]), {}).collect()} == {"und"}
 
 
+def test_language_by_plain_distance(spark):
+    """The out-of-place distance by its definition; equal languages tie to the first name."""
+    rnd = random.Random(6)
+    learn = {name: " ".join("".join(rnd.choice(abc) for _ in range(rnd.randrange(1, 7))) for _ in range(300)) for name, abc in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "éfgh"))}
+    texts = [" ".join("".join(rnd.choice("abcdefghé") for _ in range(4)) for _ in range(rnd.randrange(1, 60))) for _ in range(60)] + ["c"] + ["ab cd"] * 3 + ["abc " * 60_000]
+
+    def ranked(text, n):
+        count = Counter(g for w in re.findall(r"[^\W\d_]+", text.lower()) for k in (1, 2, 3) for g in [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)] if g.strip())
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], sum(ord(c) << 21 * (len(x[0]) - 1 - i) for i, c in enumerate(x[0]))))][:n]
+
+    profiles = {name: langid.top(*langid.grams(t), 400) for name, t in learn.items()}
+    profiles["ab"] = profiles["aa"]
+    plain = {name: ranked(learn["aa" if name == "ab" else name], 400) for name in profiles}
+    assert all(len(plain[k]) == len(profiles[k]) for k in plain)
+    for r in langid.predict(frame(spark, texts), profiles).collect():
+        own, best = ranked(texts[r["doc_id"]], langid.DOCUMENT), None
+        for name in sorted(plain):
+            worst, at = max(len(plain[name]), langid.DOCUMENT), {g: i for i, g in enumerate(plain[name])}
+            far = sum(abs(at[g] - i) if g in at else worst for i, g in enumerate(own)) / worst
+            if best is None or far < best[0]:
+                best = (far, name)
+        assert r["lang_pred"] == best[1] and abs(r["score"] - max(0, 1 - best[0] / len(own))) < 1e-9
+
+
+def test_long_and_repeated_rows(spark):
+    """Very long texts and rows alike in everything, for the operators that judge each row by itself."""
+    rnd = random.Random(12)
+    item = " ".join(f"b{rnd.randrange(999)}" for _ in range(30))
+    long = " ".join(f"u{rnd.randrange(99)}" for _ in range(120_000)) + " " + item
+    df = spark.createDataFrame([(1, long), (1, long), (2, "x\n\ny"), (2, "x\n\ny"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "u1")], "item_id long, text string")
+    hits = sorted((r["doc_id"], r["item_id"], r["start_word"], r["edits"]) for r in decontaminate.contaminated(df, bench).collect())
+    at = long.split().index("u1")
+    assert hits == sorted([(1, 7, 120_000, 0)] * 4 + [(1, 8, at, 0)] * 2)
+    assert sorted((r["doc_id"] or 0) for r in decontaminate.without_items(df, bench).collect()) == [0, 2, 2]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding, _ = tokens.vocabulary(path, public_tokenizers.PATTERN)
+    rows = tokens.section_tokens(df, path, public_tokenizers.PATTERN).collect()
+    assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 1) == 2 * len(encoding.encode_ordinary(long))
+    assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 2) == 2 * len(encoding.encode_ordinary("x\n\ny"))
+    digests = audio.audio_digests(df).collect()
+    assert len(digests) == 5 and len({r["feature"] for r in digests}) == 3
+    assert langid.predict(df, {"en": langid.top(*langid.grams("u b"), 400)}).filter("lang_pred = 'en'").count() == 4
+    page = "<article>" + "<p>Some text, and more of it, and on.</p>" * 20_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", page)] * 2, "page_id long, url string, html string")
+    assert [r["n_chars"] for r in html_text.page_texts(pages).collect()] == [20_000 * 35 - 1] * 2
+
+
 def test_decontamination_rows(spark):
     rnd = random.Random(2)
     item = " ".join(f"b{rnd.randrange(999)}" for _ in range(20))
@@ -259,6 +350,8 @@ def test_empty_tables(spark):
         langid.predict(none, profiles),
         decontaminate.contaminated(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")),
         html_text.page_texts(spark.createDataFrame([], "page_id long, url string, html string")),
+        tokens.section_tokens(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        decontaminate.without_items(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")),
     ):
         assert df.count() == 0
 
@@ -280,9 +373,7 @@ def test_pipeline(spark, sf):
     rows = {r["doc_id"]: r for r in docs.collect()}
     kept = corpus_pipeline.language(spark, docs, sf)
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r["text"] or "") for r in rows.values())
-    fps = [simhash.fingerprint(rows[i]["text"] or "") for i in sorted(rows)]
-    once = {sorted(rows)[i] for i, c in enumerate(classes(fps)) if i == c}
-    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == once
+    once = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()}
     clean = corpus_pipeline.benchmark_passages(spark, docs, sf)
     items = [decontaminate.plain(r["text"]).decode().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holds = {i for i, r in rows.items() if any(f" {' '.join(x)} " in f" {decontaminate.plain(r['text']).decode()} " for x in items)}
