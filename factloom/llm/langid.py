@@ -15,7 +15,6 @@ every document is ``und``. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
@@ -28,9 +27,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 PROFILE, DOCUMENT = 400, 300
 PER_LANGUAGE = 2000
 PIECE = 1 << 20
-#: Numerals that a pattern's word class takes for letters (as superscript two or Roman eight).
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_OTHER = re.compile(rf"[\W_{_NUMERALS}]+")
+#: Of every code point, whether it is a letter (numerals like superscript two or Roman eight are none).
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 BLANK = np.int64(0x20)
 
 
@@ -38,10 +36,12 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes (21 bits a letter) of a text and how often each occurs."""
     kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(text), PIECE):
-        part = _OTHER.sub(" ", text[at : at + PIECE].lower()).strip()
-        if not part:
+        c = np.frombuffer(f" {text[at : at + PIECE].lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        letter = _LETTER[c]
+        if not letter.any():
             continue
-        c = np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        # Of a run of other characters one blank stays.
+        c = np.where(letter, c, BLANK)[letter | np.concatenate([[True], letter[:-1]])]
         two = c[:-1] << 21 | c[1:]
         three = two[:-1] << 21 | c[2:]
         codes = np.concatenate([c[c != BLANK], two, three[c[1:-1] != BLANK]])
