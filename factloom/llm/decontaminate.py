@@ -38,7 +38,7 @@ from .hashing import PIECE, RunHash, U, mix, word_hashes
 
 SHARE, SAMPLES = 0.2, 4
 #: (items of up to so many words, number of walks)
-WALKS = ((70, 48), (300, 96), (1000, 192), (1 << 62, 384))
+WALKS = ((70, 32), (300, 96), (1000, 192), (1 << 62, 384))
 LONGEST_RUN = 4
 BLOCK_CHARS = 8 << 20
 AT_ONCE = 512
@@ -150,7 +150,7 @@ class Items:
 
     def matches(self, words: np.ndarray, raw: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(item row, start, words, edits) of a document's best window for each item it holds."""
-        best: dict[int, tuple[int, int, int]] = {}
+        near: set[tuple[int, int, int, int]] = set()
         blank = np.full(self.edge, EDGE, U)
         words, raw = np.concatenate([blank, words, blank]), [b"", *raw, b""]
         starts, sizes = self.windows(words)
@@ -168,18 +168,22 @@ class Items:
                 a, b = w[p : p + AT_ONCE], item[p : p + AT_ONCE]
                 edits = edit_distances(window[a], self.words[b], self.limits[b])
                 for i in np.flatnonzero(edits <= self.limits[b]).tolist():
-                    k, s, n_words = int(b[i]), int(start[a[i]]), int(size[a[i]])
-                    new = (int(edits[i]), s, n_words)
-                    if (k not in best or new < best[k]) and self.by_words(k, raw, s, n_words) <= self.limits[k]:
-                        best[k] = new
-        n = len(words) - 2 * self.edge
-        return [(k, max(0, s - self.edge), min(n, s + size - self.edge) - max(0, s - self.edge), e) for k, (e, s, size) in sorted(best.items())]
+                    near.add((int(b[i]), int(edits[i]), int(start[a[i]]), int(size[a[i]])))
+        n, out = len(words) - 2 * self.edge, []
+        for k, e, s, size in sorted(near):
+            if (not out or out[-1][0] != k) and self.by_words(k, raw, s, size) <= self.limits[k]:
+                at = max(0, s - self.edge)
+                out.append((k, at, min(n, s + size - self.edge) - at, e))
+        return out
 
     def by_words(self, item: int, raw: list[bytes], start: int, size: int) -> int:
         """Edit distance of an item to a window, on the words themselves."""
+        window = [raw[min(max(0, i - self.edge + 1), len(raw) - 1)] for i in range(start, start + size)]
+        if window == self.raw[item]:
+            return 0
         number = {w: i for i, w in enumerate(self.raw[item])}
         own = np.array([[number[w] for w in self.raw[item]]])
-        there = np.array([[number.get(raw[min(max(0, i - self.edge + 1), len(raw) - 1)], -1) for i in range(start, start + size)]])
+        there = np.array([[number.get(w, -1) for w in window]])
         return int(edit_distances(there, own, self.limits[item : item + 1])[0])
 
 
