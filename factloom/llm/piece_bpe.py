@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words held in each of two generations; runs longer than SHORT are not held.
-KEEP_WORDS = 120_000
+KEEP_WORDS = 700_000
 SHORT, NONE = 40, 1 << 30
 #: A word with the blanks before it; blanks at the end of a text stand alone.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -132,7 +132,7 @@ class PieceCoder:
             for text, ids in zip(some, held, strict=True):
                 parts = self.parts(text)
                 own, decoded = ",".join([p[0] for p in parts]), self._text(b"".join([p[2] for p in parts]))
-                if verify and (own != ",".join(map(str, ids)) or decoded != self.lib.decode(ids)):
+                if verify and (own != str(ids)[1:-1].replace(", ", ",") or decoded != self.lib.decode(ids)):
                     raise ValueError(f"differs from the library: {text[:200]!r}")
                 yield own, sum([p[1] for p in parts]), decoded
 
