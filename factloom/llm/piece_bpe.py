@@ -49,6 +49,7 @@ class PieceCoder:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces of this vocabulary cross words")
+        self.surface = {p: (str(i), self.raw[i]) for p, i in self.ids.items()}
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
 
@@ -59,15 +60,15 @@ class PieceCoder:
     def _scan(self, text: str) -> list[str]:
         """The agenda as a list of ranks, one for each adjacent pair; its least, leftmost entry is next."""
         get, symbols = self.rank.get, list(text)
-        agenda = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        agenda = [get(text[i : i + 2], NONE) for i in range(len(text) - 1)]
         while agenda and (best := min(agenda)) != NONE:
             i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
+            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i < len(agenda):
-                agenda[i] = get(symbols[i] + symbols[i + 1], NONE)
+                agenda[i] = get(piece + symbols[i + 1], NONE)
             if i:
-                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NONE)
+                agenda[i - 1] = get(symbols[i - 1] + piece, NONE)
         return symbols
 
     def _heap(self, text: str) -> list[str]:
@@ -95,11 +96,12 @@ class PieceCoder:
         """Ids as text, their number and the bytes they stand for."""
         found = self.older.get(w)
         if found is None:
-            ids: list[int] = []
-            for s in self.merge(w):
-                i = self.ids.get(s)
-                ids.extend([i] if i is not None else [self.bytes[b] for b in s.encode("utf-8", "replace")])
-            found = (",".join(map(str, ids)), len(ids), b"".join([self.raw[i] for i in ids]))
+            surface, symbols = self.surface, self.merge(w)
+            try:
+                parts = [surface[s] for s in symbols]
+            except KeyError:  # symbols without a piece become bytes
+                parts = [(str(i), self.raw[i]) for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode("utf-8", "replace")])]
+            found = (",".join([p[0] for p in parts]), len(parts), b"".join([p[1] for p in parts]))
         if len(w) <= SHORT:
             if len(self.known) >= KEEP_WORDS:
                 self.older, self.known = self.known, {}
@@ -134,7 +136,7 @@ class PieceCoder:
                 own, decoded = ",".join([p[0] for p in parts]), self._text(b"".join([p[2] for p in parts]))
                 if verify and (own != str(ids)[1:-1].replace(", ", ",") or decoded != self.lib.decode(ids)):
                     raise ValueError(f"differs from the library: {text[:200]!r}")
-                yield own, sum([p[1] for p in parts]), decoded
+                yield own, len(ids) if verify else sum([p[1] for p in parts]), decoded
 
     def check(self, texts: list[str]) -> None:
         for _ in self.coded(texts, verify=True):
