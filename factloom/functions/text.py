@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN_SLICE = 200_000
+# Fixed value: the answer that stands for none.
 NOT_FOUND = ("not_found", "n/a", "none", "null")
 
 
@@ -98,9 +99,18 @@ def dollars(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(F.bround(c, 0), 0))
 
 
+def tenths(c: Column) -> Column:
+    """A number to one decimal as its exact binary value has it, halves to even: ten times the number is taken with its rounding error."""
+    a, b = c * 8, c * 2
+    whole = F.floor(a + b).cast("double")
+    part, error = a + b - whole, (a - (a + b - (a + b - a))) + (b - (a + b - a))
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1))))
+    return (whole + up.cast("double")) / 10
+
+
 def percent(c: Column) -> Column:
-    """Shares up to 1 become whole per cents, larger numbers keep one decimal."""
-    return F.when(c.isNull(), None).when(c <= 1, F.format_string("%.0f%%", c * 100)).otherwise(F.format_string("%.1f%%", c))
+    """Shares up to 1 become whole per cents, larger numbers keep one decimal; halves go to the even digit."""
+    return F.when(c.isNull(), None).when(c <= 1, F.format_string("%.0f%%", F.bround(c * 100, 0))).otherwise(F.format_string("%.1f%%", tenths(c)))
 
 
 def rendered(c: Column) -> Column:

@@ -204,9 +204,11 @@ def shown_dollars(g: Graph) -> DataFrame:
     return g.table("part").select("p_partkey", T.dollars(F.col("p_retailprice")).alias("shown"))
 
 
-@query("str11_percent", "SELECT p_partkey, CASE WHEN p_size <= 1 THEN format('{:.0f}%', p_size * 100.0::DOUBLE) ELSE format('{:.1f}%', p_size::DOUBLE) END AS shown FROM part")
+@query("str11_percent", "SELECT p_partkey, CASE WHEN v <= 1 THEN format('{:.0f}%', v * 100.0::DOUBLE) ELSE format('{:.1f}%', v) END AS shown FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size / 40.0::DOUBLE ELSE p_size / 8.0::DOUBLE END AS v FROM part)")
 def shown_percent(g: Graph) -> DataFrame:
-    return g.table("part").select("p_partkey", T.percent(F.col("p_size").cast("double")).alias("shown"))
+    """Many values lie just between two numbers."""
+    v = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") / 40).otherwise(F.col("p_size") / 8)
+    return g.table("part").select("p_partkey", T.percent(v).alias("shown"))
 
 
 @query("str14_rendered", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE CAST(l_quantity AS VARCHAR) END AS shown, CASE WHEN l_linestatus = 'O' THEN 'Yes' ELSE 'No' END AS flag FROM lineitem")

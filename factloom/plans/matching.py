@@ -160,15 +160,20 @@ def edge_attribute(g: Graph) -> DataFrame:
 
 @query(
     "jon12_answer_grid",
-    """WITH q AS (SELECT DISTINCT question_id, answer_type FROM a), last AS (SELECT question_id, max(answer_id) AS answer_id FROM a WHERE provision_id = 7 GROUP BY 1)
-    SELECT q.question_id, answer_type, l.answer_id FROM q LEFT JOIN last l ON q.question_id = l.question_id""",
+    """WITH q AS (SELECT DISTINCT question_id, answer_type FROM a), x AS (SELECT DISTINCT provision_id FROM a),
+    l AS (SELECT provision_id, question_id, max(answer_id) AS answer_id, string_agg(DISTINCT confidence, ', ' ORDER BY confidence) AS chosen FROM a GROUP BY 1, 2)
+    SELECT x.provision_id, q.question_id, answer_type, l.answer_id, coalesce(chosen, '') AS chosen FROM x CROSS JOIN q LEFT JOIN l ON l.provision_id = x.provision_id AND l.question_id = q.question_id""",
     "a",
 )
 def answer_grid(g: Graph) -> DataFrame:
-    """Every question of the ontology with a provision's last answer, if any."""
+    """Every question of the ontology for every provision with its last answer and the values chosen, if any.
+
+    The grid is the result; the questions are the ontology's (40 of each answer type).
+    """
     questions = g.answers.select("question_id", "answer_type").distinct()
-    last = g.answers.filter("provision_id = 7").groupBy("question_id").agg(F.max("answer_id").alias("answer_id"))
-    return optional(questions, last, "question_id")
+    last = g.answers.groupBy("provision_id", "question_id").agg(F.max("answer_id").alias("answer_id"), F.array_join(F.array_sort(F.collect_set("confidence")), ", ").alias("chosen"))
+    grid = g.answers.select("provision_id").distinct().crossJoin(questions)
+    return optional(grid, last, ["provision_id", "question_id"]).select("provision_id", "question_id", "answer_type", "answer_id", F.coalesce("chosen", F.lit("")).alias("chosen"))
 
 
 @query("jon13_applicability", "SELECT provision_id, super_type AS concept_type, string_agg(DISTINCT type_name, ',' ORDER BY type_name) AS concepts, count(*) AS n FROM b GROUP BY 1, 2", "b")
@@ -189,15 +194,14 @@ def evidence_order(g: Graph) -> DataFrame:
 
 
 def pathways(g: Graph) -> DataFrame:
-    """(source, target, capped): nation pairs that trade on urgent orders of large lines."""
-    lines = g.table("lineitem").filter("l_quantity >= 50 and l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_returnflag")
-    orders = g.table("orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(g.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(g.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return pairs.select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target"), (F.col("l_returnflag") == "A").alias("capped")).distinct()
+    """(source, target, capped): the distinct nation pairs of suppliers and customers over all lines; capped lines are those returned."""
+    pairs = g.table("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(g.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = pairs.join(g.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(g.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return named.select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target"), (F.col("l_returnflag") == "A").alias("capped")).distinct()
 
 
 _PATHS = """h AS (SELECT DISTINCT s_nationkey AS source, c_nationkey AS target, l_returnflag = 'A' AS capped FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 50 AND l_linenumber = 1 AND o_orderpriority = '1-URGENT')"""
+    JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)"""
 
 
 @query("jon16_two_hop", f"WITH {_PATHS} SELECT DISTINCT x.source, x.target AS mid, y.target FROM h x JOIN h y ON x.target = y.source WHERE NOT y.capped")

@@ -1,6 +1,6 @@
 """All queries by name."""
 
-from . import answers, capacity, lookups, matching, schema, scripts, tables, texts
+from . import answers, capacity, files, lookups, matching, retrieval, schema, scripts, tables, texts
 from .model import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "answers", "capacity", "lookups", "matching", "schema", "scripts", "tables", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "answers", "capacity", "files", "lookups", "matching", "retrieval", "schema", "scripts", "tables", "texts"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import mutate as M
-from .model import BUILDER, Graph, query
+from .model import BUILDER, ORACLE_SQL, Graph, query
 
 
 @query("snk02_match_insert", "SELECT provision_id, 'fee_' || CAST(provision_id AS VARCHAR) AS entity_id FROM p WHERE ptype = 'mfn'", "p")
@@ -174,13 +176,21 @@ def unlinked(g: Graph) -> DataFrame:
     return g.table("part").join(g.table("lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("val13_severity_rollup", "SELECT CASE WHEN p_size > 40 THEN 'error' WHEN p_size > 20 THEN 'warning' ELSE 'ok' END AS severity, count(*) AS n FROM part GROUP BY 1")
-def severity_rollup(g: Graph) -> DataFrame:
-    return g.table("part").groupBy(F.when(F.col("p_size") > 40, "error").when(F.col("p_size") > 20, "warning").otherwise("ok").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("set10_ordered_dedupe", "SELECT partkey, shipdate FROM (SELECT l_partkey AS partkey, strftime(l_shipdate, '%Y-%m-%d') AS shipdate, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def ordered_dedupe(g: Graph) -> DataFrame:
     """First occurrence in order."""
     w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
     return g.table("lineitem").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(F.col("l_partkey").alias("partkey"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipdate"))
+
+
+#: Severity of each check of this module.
+SEVERITY = {"val01_duplicate_ids": "error", "val02_snake_case": "warning", "val03_required_fields": "error", "val04_domain": "error", "val05_prefix_covenant": "warning", "val06_order_range": "warning", "val08_short_prompt": "warning", "val09_hard_coded_section": "warning", "val11_dangling_linkage": "error", "val12_unlinked": "warning"}
+_FINDINGS = " UNION ALL ".join(f"SELECT '{sev}' AS severity, '{name}' AS found FROM ({ORACLE_SQL[name]})" for name, sev in SEVERITY.items())
+
+
+@query("val13_severity_rollup", f"SELECT severity, count(*) AS n, count(DISTINCT found) AS checks, severity = 'error' AS fails FROM ({_FINDINGS}) GROUP BY 1")
+def severity_rollup(g: Graph) -> DataFrame:
+    """All findings of the checks by severity; errors make the validator fail."""
+    checks = (duplicate_ids, snake_case, required_fields, domain, prefix_covenant, order_range, short_prompt, hard_coded_section, dangling_linkage, unlinked)
+    found = [f(g).select(F.lit(sev).alias("severity"), F.lit(name).alias("found")) for f, (name, sev) in zip(checks, SEVERITY.items(), strict=True)]
+    return reduce(DataFrame.union, found).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("found").alias("checks")).withColumn("fails", F.col("severity") == "error")

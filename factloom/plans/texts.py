@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,7 +10,10 @@ from ..operators.ranking import near_top
 from .model import Graph, query
 
 # Words without weight in routing.
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "are", "was", "from", "have", "has", "not", "but", "all", "any", "can", "does", "how", "what", "when", "which", "who", "why", "will"]
+STOP_WORDS = """the a an is are was were be been being have has had do does did will would shall should may might must can could
+of in to for with on at by from as into through during before after above below between out off over under again further then once
+that this these those and but or nor not so if what which who whom when where why how all each every both few more most other
+some such no any only""".split()
 _STOPS_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -97,55 +100,67 @@ def iso(g: Graph) -> DataFrame:
     return g.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-# Routing: part names are categories, their words keywords.
+# Routing: part names are categories; the words of a name and of its types are keywords.
+
+
+def keyword_set(text) -> Column:
+    """Distinct words of weight."""
+    return T.tokenize(text, STOP_WORDS)
 
 
 def categories(g: Graph) -> DataFrame:
-    """(category, keywords, covenants): one row a category, ontology-sized."""
-    part = g.table("part")
-    return part.groupBy(F.col("p_name").alias("category")).agg(F.count(F.lit(1)).alias("questions"), F.collect_set(F.when(F.col("p_type").isin("SMALL", "MEDIUM"), "RP").when(F.col("p_type") == "LARGE", "MFN").otherwise("DI")).alias("covenants")).withColumn("keywords", F.split("category", " "))
+    """(category, questions, covenants, fields, concepts, keywords): one row a category, ontology-sized."""
+    kind = F.col("p_type")
+    covenant = F.when(kind.isin("SMALL", "MEDIUM"), "RP").when(kind == "LARGE", "MFN").otherwise("DI")
+    own = g.table("part").groupBy(F.col("p_name").alias("category")).agg(F.count(F.lit(1)).alias("questions"), F.collect_set(covenant).alias("covenants"), F.collect_set("p_type").alias("fields"), F.collect_set("p_brand").alias("concepts"))
+    return own.withColumn("keywords", keyword_set(F.concat_ws(" ", "category", F.array_join("fields", " "))))
 
 
 def questions(g: Graph) -> DataFrame:
-    part = g.table("part")
-    return part.select(F.col("p_partkey").alias("question"), F.concat(F.lit("is the "), F.when(F.col("p_partkey") % 3 == 0, F.split("p_name", " ")[1]).otherwise(F.col("p_name")), F.lit(" capped")).alias("text"))
+    """Questions as asked: mixed case, stop words, the category's name whole or one word of it, at times a field inside a longer word."""
+    name, n = F.col("p_name"), F.col("p_partkey")
+    about = F.when(n % 3 == 0, F.split(name, " ")[1]).when(n % 7 == 0, F.concat(F.lit("pre"), F.lower("p_type"), F.lit("ed items"))).otherwise(F.upper(name))
+    return g.table("part").select(n.alias("question"), F.concat(F.lit("Is the "), about, F.lit(" capped, or would it be under any other?")).alias("text"))
 
 
 def route_scores(g: Graph) -> DataFrame:
-    """(question, category, score): twice the shared words, ten for the whole name, one for each keyword inside.
+    """(question, category, score): twice the shared words of weight, ten for the whole name, one for each keyword inside.
 
-    Questions meet categories through shared words (an equi-join); a keyword inside
-    a question as a substring of a longer word is found by a join with the question
-    words, which are few for each question. Categories are ontology-sized.
+    A keyword counts where the question has it, also inside a longer word; the distinct
+    words of all questions meet the distinct keywords once (both vocabulary-sized), and
+    questions meet categories through what was found there.
     """
-    cats = categories(g).select("category", F.explode("keywords").alias("keyword"))
-    asked = questions(g)
-    words = asked.select("question", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    # Distinct words of all questions against the distinct keywords: both vocabulary-sized.
-    vocabulary = words.select("word").distinct().join(F.broadcast(cats.select("keyword").distinct()), F.contains("word", "keyword"))
-    inside = words.join(vocabulary, "word").select("question", "text", "keyword").distinct().join(cats, "keyword")
-    shared = F.array_contains(F.split("text", " "), F.col("keyword")).cast("int")
-    scored = inside.groupBy("question", "text", "category").agg((F.sum(shared) * 2 + F.count(F.lit(1))).alias("part"))
-    return scored.select("question", "category", (F.col("part") + F.when(F.contains("text", "category"), 10).otherwise(0)).alias("score"))
-
-
-_ROUTE = """c AS (SELECT p_name AS category, string_split(p_name, ' ') AS ks, list_sort(list(DISTINCT CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'RP' WHEN p_type = 'LARGE' THEN 'MFN' ELSE 'DI' END)) AS cov FROM part GROUP BY 1),
-q AS (SELECT p_partkey AS question, 'is the ' || CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 2) ELSE p_name END || ' capped' AS text FROM part),
-s AS (SELECT question, category, CAST(2 * len(list_intersect(string_split(text, ' '), ks)) + CASE WHEN contains(text, category) THEN 10 ELSE 0 END + len(list_filter(ks, lambda k: contains(text, k))) AS BIGINT) AS score FROM q, c),
+    asked = questions(g).withColumn("low", F.lower("text"))
+    keywords = categories(g).select("category", F.explode("keywords").alias("keyword"))
+    words = asked.select("question", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("word"))
+    found = words.select("word").distinct().join(keywords.select("keyword").distinct(), F.contains("word", "keyword"))
+    inside = words.join(found, "word").select("question", "keyword").distinct()
+    exact = asked.select("question", F.explode(keyword_set(F.col("text"))).alias("keyword")).withColumn("shared", F.lit(2))
+    points = inside.join(exact, ["question", "keyword"], "left").select("question", "keyword", (F.coalesce("shared", F.lit(0)) + 1).alias("points"))
+    scored = points.join(keywords, "keyword").groupBy("question", "category").agg(F.sum("points").alias("part"))
+    named = scored.join(asked.select("question", "low"), "question")
+    return named.select("question", "category", (F.col("part") + F.when(F.contains("low", F.lower("category")), 10).otherwise(0)).alias("score"))
+
+
+_TOKENS = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z][a-z0-9]+')), lambda w: length(w) >= 3 AND w NOT IN ({_STOPS_SQL}))"
+ROUTE = f"""c AS (SELECT p_name AS category, {_TOKENS("concat(p_name, ' ', string_agg(DISTINCT p_type, ' '))")} AS ks, list_sort(list(DISTINCT CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'RP' WHEN p_type = 'LARGE' THEN 'MFN' ELSE 'DI' END)) AS cov FROM part GROUP BY 1),
+q AS (SELECT p_partkey AS question, lower('Is the ' || CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 7 = 0 THEN concat('pre', lower(p_type), 'ed items') ELSE upper(p_name) END || ' capped, or would it be under any other?') AS low FROM part),
+qt AS (SELECT question, low, {_TOKENS("low")} AS ts FROM q),
+s AS (SELECT question, category, CAST(2 * len(list_intersect(ts, ks)) + CASE WHEN contains(low, lower(category)) THEN 10 ELSE 0 END + len(list_filter(ks, lambda k: contains(low, k))) AS BIGINT) AS score FROM qt, c),
 m AS (SELECT question, category, score FROM (SELECT *, max(score) OVER (PARTITION BY question) AS top FROM s WHERE score > 0) WHERE score >= greatest(1, 0.25 * top))"""
 
 
-query("rte02_route_scores", f"WITH {_ROUTE} SELECT question, category, score FROM s WHERE score > 0")(route_scores)
+query("rte02_route_scores", f"WITH {ROUTE} SELECT question, category, score FROM s WHERE score > 0")(route_scores)
 
 
 def matched(g: Graph) -> DataFrame:
     return near_top(route_scores(g), "question")
 
 
-query("rte02_route_match", f"WITH {_ROUTE} SELECT question, category, score FROM m")(matched)
+query("rte02_route_match", f"WITH {ROUTE} SELECT question, category, score FROM m")(matched)
 
 
-@query("rte02_specific", f"WITH {_ROUTE} SELECT question, count(*) AS matches, count(*) BETWEEN 1 AND 3 AS specific FROM m GROUP BY 1")
+@query("rte02_specific", f"WITH {ROUTE} SELECT question, count(*) AS matches, count(*) BETWEEN 1 AND 3 AS specific FROM m GROUP BY 1")
 def specific(g: Graph) -> DataFrame:
     n = matched(g).groupBy("question").agg(F.count(F.lit(1)).alias("matches"))
     return n.withColumn("specific", F.col("matches").between(1, 3))
@@ -153,7 +168,7 @@ def specific(g: Graph) -> DataFrame:
 
 @query(
     "rte03_covenant_resolve",
-    f"""WITH {_ROUTE}, k AS (SELECT question, CASE WHEN len(cov) = 1 THEN cov[1] ELSE 'RP' END AS cov FROM m JOIN c USING (category))
+    f"""WITH {ROUTE}, k AS (SELECT question, CASE WHEN len(cov) = 1 THEN cov[1] ELSE 'RP' END AS cov FROM m JOIN c USING (category))
     SELECT q.question, CASE WHEN count(DISTINCT k.cov) = 1 THEN lower(min(k.cov)) ELSE 'both' END AS covenant FROM q LEFT JOIN k ON q.question = k.question GROUP BY 1""",
 )
 def covenant_resolve(g: Graph) -> DataFrame:
@@ -163,9 +178,27 @@ def covenant_resolve(g: Graph) -> DataFrame:
     return questions(g).select("question").join(sets, "question", "left").select("question", F.when(F.size("s") == 1, F.lower(F.col("s")[0])).otherwise("both").alias("covenant"))
 
 
-@query("rte01_category_metadata", "SELECT p_name AS category, count(*) AS questions, string_agg(DISTINCT CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'RP' WHEN p_type = 'LARGE' THEN 'MFN' ELSE 'DI' END, ',' ORDER BY CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'RP' WHEN p_type = 'LARGE' THEN 'MFN' ELSE 'DI' END) AS covenants FROM part GROUP BY 1")
+@query(
+    "rte01_category_metadata",
+    f"""WITH {ROUTE}, o AS (SELECT p_name AS category, count(*) AS questions, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS fields, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS concepts FROM part GROUP BY 1)
+    SELECT category, questions, array_to_string(cov, ',') AS covenants, fields, concepts, array_to_string(list_sort(ks), ',') AS keywords FROM c JOIN o USING (category)""",
+)
 def category_metadata(g: Graph) -> DataFrame:
-    return categories(g).select("category", "questions", F.array_join(F.array_sort("covenants"), ",").alias("covenants"))
+    """Everything routing knows of a category: questions, covenants, fields, concept types and keywords."""
+    return categories(g).select("category", "questions", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("covenants", "fields", "concepts", "keywords")])
+
+
+@query(
+    "rte04_relevant_types",
+    f"""WITH {ROUTE} SELECT question, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS entity_types, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS field_names,
+    string_agg(DISTINCT concat('For ', category, ' weigh ', p_type, '.'), chr(10) ORDER BY concat('For ', category, ' weigh ', p_type, '.')) AS guidance FROM m JOIN part ON p_name = category GROUP BY 1""",
+)
+def relevant_types(g: Graph) -> DataFrame:
+    """Entity types, field names and guidance of the categories a question was routed to."""
+    listed = lambda c, sep: F.array_join(F.array_sort(F.collect_set(c)), sep)
+    own = g.table("part").select(F.col("p_name").alias("category"), "p_brand", "p_type").distinct()
+    said = F.concat(F.lit("For "), "category", F.lit(" weigh "), "p_type", F.lit("."))
+    return matched(g).join(own, "category").groupBy("question").agg(listed("p_brand", ", ").alias("entity_types"), listed("p_type", ", ").alias("field_names"), listed(said, "\n").alias("guidance"))
 
 
 @query(

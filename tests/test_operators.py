@@ -114,3 +114,32 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "question_id string, confidence string, seq int")
     assert ranking.best_answer(none).count() == 0
     assert catalog.type_closure(spark.createDataFrame([], "sub string, super string")).count() == 0
+
+
+def test_percent_rounds_as_the_exact_value_does(spark):
+    values = [0.125, 0.025, 0.005, 1.0, 2.25, 2.35, 1.15, 1.25, 1.35, 1.45, 33.75, 49.95, 7.05, 1e6 + 0.25, 0.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(T.percent(F.col("v"))).collect()]
+    assert got == [None if v is None else f"{v * 100:.0f}%" if v <= 1 else f"{v:.1f}%" for v in values]
+
+
+def test_tokens_leave_stop_words_out(spark):
+    from factloom.plans.texts import STOP_WORDS
+
+    assert len(STOP_WORDS) == len(set(STOP_WORDS)) > 80
+    text = "Would the BASKET be, under any other cap2, only 2x a basket of an EBITDA-based is?"
+    row = spark.createDataFrame([(text,)], "t string").select(F.array_sort(T.tokenize(F.col("t"), STOP_WORDS))).first()[0]
+    assert row == ["based", "basket", "cap2", "ebitda"]
+
+
+def test_files_round_trip(spark, tmp_path):
+    from factloom.sources import files as io
+
+    df = spark.createDataFrame([(1, 'a "b"\nc', None), (2, None, 1.5), (3, "", None)], "id long, name string, x double")
+    for rows in (df, df.limit(0)):
+        io.save_json(rows, f"{tmp_path}/j")
+        assert sorted(map(tuple, io.load_json(spark, f"{tmp_path}/j", "id long, name string, x double").collect())) == sorted(map(tuple, rows.collect()))
+        io.append_rows(rows, f"{tmp_path}/t", fresh=True)
+        io.append_rows(rows, f"{tmp_path}/t")
+        assert spark.read.parquet(f"{tmp_path}/t").count() == 2 * rows.count()
+    io.save_json(df.repartition(30), f"{tmp_path}/many")
+    assert io.newest(spark, f"{tmp_path}/many", 2).count() == 2
