@@ -19,8 +19,7 @@ away, so each is filed under its 65 neighbours and tied to the least member ther
 instead. A similarity of 0.8 leaves about a seventh of the bits different, so it takes a
 longer fingerprint: 11 segments of 23 bits, of which two that decode to a common
 codeword index make a candidate. At the similarity 0.8 a segment has such an index with
-about 0.55, two of eleven with 0.998; ``FAR`` differing bits of 256 are passed by chance
-once in 10**5. Candidates are verified by their whole shingle sets. First every text is
+about 0.60, two of eleven with 0.999; more than ``FAR`` of 256 bits differ once in 700 such pairs. Candidates are verified by their whole shingle sets. First every text is
 compared with a few leaders of its groups (texts under one index of one segment), which
 ties crowds of near copies without pairs; then all candidates between different classes
 are verified, however large a group is.
@@ -51,7 +50,7 @@ WORDS, SEED, BITS = 3, 42, 2
 BUCKET_CAP = 32
 LIKE_WORDS, SIMILARITY = 5, 0.8
 #: Segments of 23 bits of a long fingerprint, the most differing bits of a candidate, leaders a text is compared with.
-PARTS, FAR, NEAREST = 11, 64, 4
+PARTS, FAR, NEAREST = 11, 56, 4
 #: Bits of the table that passes over texts without a candidate, and pairs of a group held at once.
 SLOTS, AT_ONCE = 1 << 24, 1 << 21
 STRETCH = np.arange(1, 5, dtype=U) * LENGTH
@@ -240,12 +239,17 @@ def leader_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     return best.select("node", F.explode("best.lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
-def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, part: int, similarity: float) -> np.ndarray:
-    """Pairs (i << 32 | j) of a group's texts in different classes, which share an index of a later segment and are near."""
+def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, similarity: float) -> np.ndarray:
+    """Pairs (i << 32 | j) of a group's texts in different classes, which share an index of a later segment and are near.
+
+    ``group`` is the segment's number over the index in it; pairs with an earlier group in common are left to that.
+    """
+    part = group >> 12
     m, out = len(comp), [np.zeros(0, np.int64)]
     if m < 2 or (comp == comp[0]).all():
         return out[0]
-    later = part_indices(fp)[:, part + 1 :].reshape(m, -1)
+    own = part_indices(fp)
+    later = own[:, part + 1 :].reshape(m, -1)
     by_comp = comp.argsort(kind="stable")
     entries = np.unique(later * m + by_comp.argsort()[:, None])
     key, who = entries // m, by_comp[entries % m]
@@ -264,7 +268,12 @@ def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, part: int, simi
         like = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9
         i, j = i[like], j[like]
         near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= FAR
-        out.append(np.unique(i[near] << 32 | j[near]))
+        pairs = np.unique(i[near] << 32 | j[near])
+        for s in range(part + 1):
+            x, y = own[pairs >> 32, s], own[pairs & 0xFFFFFFFF, s]
+            before = x if s < part else np.where(x < group, x, -1)
+            pairs = pairs[~(before[:, :, None] == y[:, None, :]).any((1, 2))]
+        out.append(pairs)
     return np.unique(np.concatenate(out))
 
 
@@ -285,7 +294,7 @@ def candidate_pairs(prints: DataFrame, similarity: float) -> DataFrame:
 
         def solve() -> pa.RecordBatch:
             rows = np.concatenate(held, axis=1)
-            pairs = cross_pairs(rows[2], rows[3], np.ascontiguousarray(rows[4:].T).view(U), int(rows[0, 0]) >> 12, similarity)
+            pairs = cross_pairs(rows[2], rows[3], np.ascontiguousarray(rows[4:].T).view(U), int(rows[0, 0]), similarity)
             return pa.RecordBatch.from_arrays([pa.array(rows[1, pairs >> 32]), pa.array(rows[1, pairs & 0xFFFFFFFF])], ["a", "b"])
 
         for batch in batches:

@@ -70,19 +70,24 @@ def test_candidates_of_a_group_by_all_pairs():
     base = rng.integers(0, 1 << 63, (3, 4)).astype(np.uint64)
     fp = np.repeat(base, 40, axis=0) ^ np.packbits(rng.random((120, 256)) < 0.08, axis=1, bitorder="little").view("<u8")
     comp, n = rng.integers(0, 5, 120), rng.integers(80, 110, 120)
-    own = [[set(x) for x in row] for row in simhash.part_indices(fp).tolist()]
-    want = set()
+    own = [set(row) for row in simhash.part_indices(fp).reshape(120, -1).tolist()]
+    want: dict[int, set] = {}
     for i in range(120):
         for j in range(i + 1, 120):
-            shares = any(own[i][t] & own[j][t] for t in range(4, simhash.PARTS))
+            shared = sorted(own[i] & own[j])
             near = sum(int(x).bit_count() for x in fp[i] ^ fp[j]) <= simhash.FAR
-            if comp[i] != comp[j] and shares and near and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]):
-                want.add((i, j))
+            if comp[i] != comp[j] and len({x >> 12 for x in shared}) >= 2 and near and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]):
+                want.setdefault(shared[0], set()).add((i, j))  # found in the least of their groups alone
     for at_once in (simhash.AT_ONCE, 50):
         simhash.AT_ONCE, before = at_once, simhash.AT_ONCE
-        got = simhash.cross_pairs(comp, n, fp, 3, 0.8)
+        for group in sorted(set().union(*own)):
+            if group >> 12 == simhash.PARTS - 1:
+                continue
+            some = np.array([k for k in range(120) if group in own[k]])
+            got = simhash.cross_pairs(comp[some], n[some], fp[some], group, 0.8)
+            assert {(int(some[x >> 32]), int(some[x & 0xFFFFFFFF])) for x in got} == want.get(group, set())
         simhash.AT_ONCE = before
-        assert want and {(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in got} == want
+    assert want
 
 
 def test_recall_of_long_fingerprints():
