@@ -37,13 +37,12 @@ def documents(g: Graph) -> DataFrame:
     return full.select("provision_id", "entity_id", "type_name", "super_type", "suppkey", F.array_join(F.filter(held, lambda x: x.isNotNull()), "; ").alias("attributes"), F.coalesce("child", F.lit("")).alias("children"), F.array_join(links, ", ").alias("links"))
 
 
-_FULL = """n AS (SELECT p_brand AS t, ['amount', 'cap', 'pct'][CAST(p_size % 3 + 1 AS INT)] AS attr, min(p_name) AS q FROM part GROUP BY 1, 2),
-e AS (SELECT provision_id, entity_id, type_name, super_type, suppkey, partkey, unnest(['amount', 'cap', 'pct']) AS attr, unnest([amount, cap, pct]) AS v FROM b),
-x AS (SELECT entity_id, string_agg(CASE WHEN v IS NOT NULL THEN concat(e.attr, '=', CAST(floor(v) AS BIGINT), CASE WHEN q IS NOT NULL THEN concat(' (', q, ')') ELSE '' END) END, '; ' ORDER BY e.attr) AS attributes
-  FROM e LEFT JOIN n ON t = type_name AND n.attr = e.attr GROUP BY 1),
-f AS (SELECT provision_id, b.entity_id, type_name, super_type, suppkey, coalesce(attributes, '') AS attributes,
+_SHOWN = ", ".join(f"CASE WHEN {a} IS NOT NULL THEN concat('{a}=', CAST(floor({a}) AS BIGINT), coalesce(' (' || n_{a}.q || ')', '')) END" for a in ATTRIBUTES)
+_NOTES = " ".join(f"LEFT JOIN n n_{a} ON n_{a}.t = type_name AND n_{a}.attr = '{a}'" for a in ATTRIBUTES)
+_FULL = f"""n AS (SELECT p_brand AS t, ['amount', 'cap', 'pct'][CAST(p_size % 3 + 1 AS INT)] AS attr, min(p_name) AS q FROM part GROUP BY 1, 2),
+f AS (SELECT provision_id, entity_id, type_name, super_type, suppkey, concat_ws('; ', {_SHOWN}) AS attributes,
   coalesce(concat('supplier ', s_name, CASE WHEN n_name IS NOT NULL THEN concat(' (', n_name, ')') ELSE '' END), '') AS children, concat('part:', partkey, ', supplier:', suppkey) AS links
-  FROM b JOIN x ON x.entity_id = b.entity_id LEFT JOIN supplier ON s_suppkey = suppkey LEFT JOIN nation ON n_nationkey = s_nationkey)"""
+  FROM b {_NOTES} LEFT JOIN supplier ON s_suppkey = suppkey LEFT JOIN nation ON n_nationkey = s_nationkey)"""
 
 
 @query("qry01_full_fetch", f"WITH {_FULL} SELECT provision_id, entity_id, type_name, attributes, children, links FROM f", "b")
