@@ -19,10 +19,12 @@ away, so each is filed under its 65 neighbours and tied to the least member ther
 instead. A similarity of 0.8 leaves about a seventh of the bits different, so it takes a
 longer fingerprint: 11 segments of 23 bits, of which two that decode to a common
 codeword index make a candidate. At the similarity 0.8 a segment has such an index with
-about 0.60, two of eleven with 0.999; more than ``FAR`` of 256 bits differ once in 700 such pairs. Candidates are verified by their whole shingle sets. First every text is
-compared with a few leaders of its groups (texts under one index of one segment), which
-ties crowds of near copies without pairs; then all candidates between different classes
-are verified, however large a group is.
+about 0.60, two of eleven with 0.999; more than ``FAR`` of 256 bits differ once in 700 such pairs. Candidates are
+verified by their whole shingle sets. First every text is compared with a few leaders of its
+groups (texts under one index of one segment), which ties crowds of near copies without
+pairs; then all candidates between different classes are verified, however large a group is:
+large groups are dealt into blocks, and a task compares two blocks and gives only the links
+that join classes.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other. Repeated rows stay as rows of one
@@ -40,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -53,6 +55,8 @@ LIKE_WORDS, SIMILARITY = 5, 0.8
 PARTS, FAR, NEAREST = 11, 56, 4
 #: Bits of the table that passes over texts without a candidate, and pairs of a group held at once.
 SLOTS, AT_ONCE = 1 << 24, 1 << 21
+#: Rows and shingle hashes of a group's block (on average), which bound what a task holds.
+BLOCK_ROWS, BLOCK_HASHES = 2048, 1 << 21
 STRETCH = np.arange(1, 5, dtype=U) * LENGTH
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0xAE3
@@ -239,10 +243,11 @@ def leader_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     return best.select("node", F.explode("best.lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
-def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, similarity: float) -> np.ndarray:
+def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
     """Pairs (i << 32 | j) of a group's texts in different classes, which share an index of a later segment and are near.
 
     ``group`` is the segment's number over the index in it; pairs with an earlier group in common are left to that.
+    With ``side``, only pairs of different sides.
     """
     part = group >> 12
     m, out = len(comp), [np.zeros(0, np.int64)]
@@ -266,6 +271,8 @@ def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, sim
         j = who[np.repeat(first[lo:hi], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)]
         i, j = np.minimum(i, j), np.maximum(i, j)
         like = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9
+        if side is not None:
+            like &= side[i] != side[j]
         i, j = i[like], j[like]
         near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= FAR
         pairs = np.unique(i[near] << 32 | j[near])
@@ -277,8 +284,76 @@ def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, sim
     return np.unique(np.concatenate(out))
 
 
-def candidate_pairs(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all candidates of ``prints`` (node, comp, n, a to d) between different classes."""
+def tiled(keyed: DataFrame, weight: Column) -> DataFrame:
+    """``keyed`` (g, node, ...) with a tile ``k`` in front and ``side``. A group of more than ``BLOCK_ROWS`` rows or
+    ``BLOCK_HASHES`` of ``weight`` is dealt into blocks, and each two blocks (or one with itself) are a tile of their own."""
+    over = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(weight) / BLOCK_HASHES)
+    # A row a group at most, of (PARTS - 1) * 4096.
+    large = keyed.groupBy("g").agg(F.ceil(over).alias("blocks")).filter("blocks > 1")
+    dealt = keyed.join(F.broadcast(large), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tile = F.col("g") + F.least("own", "other") * (1 << 16) + F.greatest("own", "other") * (1 << 39)
+    rows = met.select(tile.alias("k"), (F.col("own") > F.col("other")).cast("long").alias("side"), *[c for c in keyed.columns if c != "g"])
+    return rows.repartition("k").sortWithinPartitions("k")
+
+
+def each_tile(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """``solve(numbers, lists)`` for the rows of each tile, which follow each other: nine columns of numbers and, if there is one, the lists of the tenth."""
+    held: list[tuple[np.ndarray, pa.Array | None]] = []
+
+    def done() -> pa.RecordBatch:
+        lists = None if held[0][1] is None else pa.concat_arrays([x for _, x in held])
+        return solve(np.concatenate([x for x, _ in held], axis=1), lists)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns[:9]])
+        cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0][0][0, 0] != rows[0, lo]:
+                yield done()
+                held = []
+            held.append((rows[:, lo:hi], batch.column(9).slice(lo, hi - lo) if batch.num_columns > 9 else None))
+    if held:
+        yield done()
+
+
+def tile_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
+    """The candidates of a tile (k, side, node, comp, n, a to d), as in ``cross_pairs``."""
+    k = int(rows[0, 0])
+    side = rows[1] if k >> 16 & (1 << 23) - 1 != k >> 39 else None
+    return cross_pairs(rows[3], rows[4], np.ascontiguousarray(rows[5:].T).view(U), k & 0xFFFF, similarity, side)
+
+
+def ties(pairs: np.ndarray, comp: np.ndarray, lists: pa.Array, similarity: float) -> list[tuple[int, int]]:
+    """Those of ``pairs`` with sets as similar that join two classes; pairs inside a class by then are not looked at."""
+    if not len(pairs):
+        return []
+    label = np.unique(comp, return_inverse=True)[1]
+    n, column = np.diff(lists.offsets.to_numpy()), np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    at, mark, out = np.append(0, np.cumsum(n)), np.zeros(len(column), bool), []
+    first, second = pairs >> 32, pairs & 0xFFFFFFFF
+    cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(pairs)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        i = int(first[lo])
+        js = second[lo:hi]
+        js = js[label[js] != label[i]]
+        if not len(js):
+            continue
+        own = column[at[i] : at[i + 1]]
+        mark[own] = True
+        common = np.array([np.count_nonzero(mark[column[at[j] : at[j + 1]]]) for j in js.tolist()])
+        mark[own] = False
+        for j in js[common >= (n[i] + n[js] - common) * similarity - 1e-9].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def candidate_members(prints: DataFrame, similarity: float) -> DataFrame:
+    """(g, node): the texts of ``prints`` (node, comp, n, a to d) with a candidate of another class in group g."""
     names = ["g", "node", "comp", "n", "a", "b", "c", "d"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,46 +362,47 @@ def candidate_pairs(prints: DataFrame, similarity: float) -> DataFrame:
                 rows = np.stack([c.to_numpy() for c in batch.slice(at, 5000).columns])
                 g = part_indices(np.ascontiguousarray(rows[3:].T).view(U))[:, :-1].reshape(rows.shape[1], -1)
                 each = np.unique(g + (np.arange(rows.shape[1]) << 32)[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array((each & 0xFFFFFFFF).astype(np.int32)), *map(pa.array, rows[:, each >> 32])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(each & 0xFFFFFFFF), *map(pa.array, rows[:, each >> 32])], names)
 
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def solve(rows: np.ndarray, _: None) -> pa.RecordBatch:
+        pairs = tile_pairs(rows, similarity)
+        found = rows[2, np.unique(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF]))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows[0, 0] & 0xFFFF)), pa.array(found)], ["g", "node"])
 
-        def solve() -> pa.RecordBatch:
-            rows = np.concatenate(held, axis=1)
-            pairs = cross_pairs(rows[2], rows[3], np.ascontiguousarray(rows[4:].T).view(U), int(rows[0, 0]), similarity)
-            return pa.RecordBatch.from_arrays([pa.array(rows[1, pairs >> 32]), pa.array(rows[1, pairs & 0xFFFFFFFF])], ["a", "b"])
+    keyed = prints.select(*names[1:]).mapInArrow(spread, "g long, node long, comp long, n long, a long, b long, c long, d long")
+    return tiled(keyed, F.lit(0)).mapInArrow(lambda batches: each_tile(batches, solve), "g long, node long").distinct()
 
-        for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns]).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(rows[0])) + 1
-            for k, some in enumerate(np.split(rows, cuts, axis=1)):
-                if held and (k or held[0][0, 0] != some[0, 0]):
-                    yield solve()
-                    held = []
-                if some.shape[1]:
-                    held.append(some)
-        if held:
-            yield solve()
-
-    keyed = prints.select(*names[1:]).mapInArrow(spread, "g int, node long, comp long, n long, a long, b long, c long, d long")
-    pairs = keyed.repartition("g").sortWithinPartitions("g").mapInArrow(collide, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def candidate_links(prints: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): links whose classes, with those of ``comp``, are the classes of all candidates of ``prints`` as similar by their whole shingle sets.
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = LIKE_WORDS) -> DataFrame:
-    """Those of ``pairs`` whose whole shingle sets are as similar.
+    The sets go to the groups where a text has a candidate and are compared there, so there is no row for a pair:
+    a tile gives fewer links than it has texts, however many of its pairs are candidates or similar.
+    """
+    members = cut_lineage(candidate_members(prints, similarity))
+    sets = shingle_sets(members.select("node").distinct(), texts, words)
+
+    def solve(rows: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        found = np.array(ties(tile_pairs(rows, similarity), rows[3], lists, similarity), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(rows[2, found.min(1)]), pa.array(rows[2, found.max(1)])], ["a", "b"])
+
+    known = members.join(prints.select("node", "comp", "n", "a", "b", "c", "d"), "node").select("g", "node", "comp", "n", "a", "b", "c", "d").join(sets, "node")
+    return tiled(known, F.col("n")).mapInArrow(lambda batches: each_tile(batches, solve), "a long, b long").distinct()
 
-    Only texts that may be in a pair are cut into shingles: a table of ``SLOTS`` bits goes to the tasks, whose size
-    is bounded however many pairs there are; what it passes in vain the join drops.
+
+def shingle_sets(met: DataFrame, texts: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
+    """(node, hashes) for the texts of ``met`` (node).
+
+    Only texts that may be in it are cut into shingles: a table of ``SLOTS`` bits goes to the tasks, whose size
+    is bounded however many there are; what it passes in vain the join drops.
     """
-    met = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    met = cut_lineage(met)
     slot = F.pmod("node", F.lit(SLOTS))
     bits = met.select((slot / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
     table = np.zeros(SLOTS // 64, U)
     for r in bits.collect():  # SLOTS / 64 rows at most
         table[r["w"]] = np.int64(r["v"]).view(U)
-    sent = pairs.sparkSession.sparkContext.broadcast(table)
+    sent = met.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +414,12 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "hashes"])
 
-    whole = cut_lineage(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>").join(met, "node", "left_semi").dropDuplicates(["node"]))
+    return cut_lineage(texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>").join(met, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = LIKE_WORDS) -> DataFrame:
+    """Those of ``pairs`` whose whole shingle sets are as similar."""
+    whole = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), texts, words)
     side = lambda c, name: whole.select(F.col("node").alias(c), F.col("hashes").alias(name))
     sets = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -352,5 +433,5 @@ def similar_classes(docs: DataFrame, node: str, text_col: str = "text", similari
     prints = cut_lineage(every.groupBy("node").agg(*[F.max(c).alias(c) for c in every.columns[1:]]))
     led = cut_lineage(similar_pairs(cut_lineage(leader_pairs(prints, similarity)), texts, similarity, words))
     classed = prints.join(components(led), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    more = similar_pairs(cut_lineage(candidate_pairs(classed, similarity)), texts, similarity, words)
+    more = candidate_links(cut_lineage(classed), texts, similarity, words)
     return components(led.unionByName(more))

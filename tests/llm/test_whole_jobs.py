@@ -198,3 +198,31 @@ def test_run_hashes_are_of_the_run_alone():
         assert seen.setdefault(units[a:b].tobytes(), h) == h
     assert len(set(got.tolist())) == len(seen)
     assert (got == hashing.RunHash(units, 55)(i, j)).all()
+
+
+def test_crowds_in_blocks(spark, monkeypatch):
+    """Groups dealt into many small blocks give the same classes."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 30)
+    test_near_copies_in_crowds(spark)
+
+
+def test_ties_of_a_block():
+    """The links that join classes give the classes of all similar pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.append(rng.choice(100, 60, replace=False) + 1000 * (k % 3), rng.integers(0, 9999, k % 4))) for k in range(60)]
+    pairs = np.array([i << 32 | j for i in range(60) for j in range(i + 1, 60)])
+    comp = np.arange(60) // 2 * 7
+
+    def classes(links):
+        label = comp.copy()
+        for i, j in links:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    alike = [(i, j) for i in range(60) for j in range(i + 1, 60) if len(c := set(sets[i]) & set(sets[j])) >= 0.45 * (len(sets[i]) + len(sets[j]) - len(c))]
+    lists = pa.concat_arrays([pa.array([[1]]), pa.array([x.tolist() for x in sets])]).slice(1)  # an array that starts later
+    found = simhash.ties(pairs, comp, lists, 0.45)
+    assert set(found) <= set(alike) and classes(found) == classes(alike) and len(found) < 60
