@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words held in each of two generations; runs longer than SHORT are not held.
-KEEP_WORDS = 700_000
+KEEP_WORDS = 400_000
 SHORT, NONE = 40, 1 << 30
 #: A word with the blanks before it; blanks at the end of a text stand alone.
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WORD = re.compile(" *[^ ]+| +")
 
 
 class PieceCoder:
@@ -49,9 +49,12 @@ class PieceCoder:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces of this vocabulary cross words")
-        self.surface = {p: (str(i), self.raw[i]) for p, i in self.ids.items()}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.surface = {p: str(i) for p, i in self.ids.items()}
+        # By an id as text: the number, and the bytes it stands for.
+        self.number = {str(i): i for i in self.raw}
+        self.stands = {str(i): b for i, b in self.raw.items()}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merge(self, text: str) -> list[str]:
         """Final symbols of one run of characters."""
@@ -92,16 +95,15 @@ class PieceCoder:
                 heapq.heappush(agenda, (r, h, symbols[h] + piece))
         return [s for s in symbols if s]
 
-    def word(self, w: str) -> tuple[str, int, bytes]:
-        """Ids as text, their number and the bytes they stand for."""
+    def word(self, w: str) -> str:
+        """Ids of a word as text."""
         found = self.older.get(w)
         if found is None:
-            surface, symbols = self.surface, self.merge(w)
+            symbols = self.merge(w.replace(" ", SPACE))
             try:
-                parts = [surface[s] for s in symbols]
+                found = ",".join([self.surface[s] for s in symbols])
             except KeyError:  # symbols without a piece become bytes
-                parts = [(str(i), self.raw[i]) for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode("utf-8", "replace")])]
-            found = (",".join([p[0] for p in parts]), len(parts), b"".join([p[1] for p in parts]))
+                found = ",".join([str(i) for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.bytes[b] for b in s.encode("utf-8", "replace")])])
         if len(w) <= SHORT:
             if len(self.known) >= KEEP_WORDS:
                 self.older, self.known = self.known, {}
@@ -110,14 +112,16 @@ class PieceCoder:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def parts(self, text: str) -> list[tuple[str, int, bytes]]:
+    def tokens(self, text: str) -> list[str]:
+        """Ids of a text, each as text."""
         word = self.word
-        return [self.known.get(w) or word(w) for w in self.words(text)]
+        ids = ",".join([self.known.get(w) or word(w) for w in self.words(text)])
+        return ids.split(",") if ids else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[0].split(",")]
+        return [self.number[t] for t in self.tokens(text)]
 
     def decode(self, ids: list[int]) -> str:
         return self._text(b"".join(self.raw.get(i, b"") for i in ids))
@@ -132,11 +136,11 @@ class PieceCoder:
             some = texts[at : at + 100]
             held = self.lib.encode(some, num_threads=1) if verify else [None] * len(some)
             for text, ids in zip(some, held, strict=True):
-                parts = self.parts(text)
-                own, decoded = ",".join([p[0] for p in parts]), self._text(b"".join([p[2] for p in parts]))
-                if verify and (own != str(ids)[1:-1].replace(", ", ",") or decoded != self.lib.decode(ids)):
+                own = self.tokens(text)
+                decoded = self._text(b"".join(map(self.stands.__getitem__, own)))
+                if verify and (list(map(self.number.__getitem__, own)) != ids or decoded != self.lib.decode(ids)):
                     raise ValueError(f"differs from the library: {text[:200]!r}")
-                yield own, len(ids) if verify else sum([p[1] for p in parts]), decoded
+                yield ",".join(own), len(own), decoded
 
     def check(self, texts: list[str]) -> None:
         for _ in self.coded(texts, verify=True):
