@@ -6,7 +6,7 @@ best score, leftmost first, is merged and its new neighbours join the agenda,
 until no adjacent pair is a piece. Left symbols without a piece become their
 UTF-8 byte pieces. As no piece of the vocabulary holds a blank after another
 character, the words of a text are independent, and each distinct word is worked
-once per Python worker (a bounded memory of words).
+once per Python worker (a bounded memory of words and their ids).
 
 Every Arrow batch is compared with the sentencepiece library, and a difference
 raises (unless ``verify`` is off).
@@ -95,8 +95,8 @@ class PieceCoder:
                 heapq.heappush(agenda, (r, h, symbols[h] + piece))
         return [s for s in symbols if s]
 
-    def word(self, w: str) -> str:
-        """Ids of a word as text."""
+    def word(self, w: str) -> tuple[str, int, bytes]:
+        """Ids of a word as text, their number and the bytes they stand for; the ids are remembered."""
         found = self.older.get(w)
         if found is None:
             symbols = self.merge(w.replace(" ", SPACE))
@@ -108,7 +108,8 @@ class PieceCoder:
             if len(self.known) >= KEEP_WORDS:
                 self.older, self.known = self.known, {}
             self.known[w] = found
-        return found
+        ids = found.split(",")
+        return found, len(ids), b"".join(map(self.stands.__getitem__, ids))
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -117,7 +118,7 @@ class PieceCoder:
     def tokens(self, text: str) -> list[str]:
         """Ids of a text, each as text."""
         word = self.word
-        ids = ",".join([self.known.get(w) or word(w) for w in self.words(text)])
+        ids = ",".join([self.known.get(w) or word(w)[0] for w in self.words(text)])
         return ids.split(",") if ids else []
 
     def encode(self, text: str) -> list[int]:
