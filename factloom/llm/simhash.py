@@ -230,17 +230,40 @@ def long_fingerprints(texts: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
 def leader_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every text and the nearest of the four leaders of each of its groups (the least and the greatest text hash, twice)."""
     keys = F.pandas_udf(lambda a, b, c, d: pd.Series(list(part_indices(np.stack([x.to_numpy().view(U) for x in (a, b, c, d)], axis=1)).reshape(len(a), -1))), "array<long>")
-    keyed = prints.select("*", F.explode(F.array_distinct(keys("a", "b", "c", "d"))).alias("g"))
+    keyed = prints.select("node", F.explode(F.array_distinct(keys("a", "b", "c", "d"))).alias("g"))
     turned = lambda c: F.col(c).bitwiseXOR(F.xxhash64("g"))
     ends = keyed.select("g", "node", turned("node").alias("t")).groupBy("g").agg(F.min("node").alias("l1"), F.max("node").alias("l2"), F.min("t").alias("t1"), F.max("t").alias("t2"))
     leads = ends.select("g", F.explode(F.array_distinct(F.array("l1", "l2", turned("t1"), turned("t2")))).alias("node"))
-    # 4 leaders for each of 11 * 4096 groups at most, however many texts there are.
-    known = leads.join(prints, "node").select("g", *[F.col(c).alias(f"lead_{c}") for c in prints.columns])
-    bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in "abcd")
-    met = keyed.join(F.broadcast(known), "g").filter("node <> lead_node").select("node", F.col("lead_node").alias("lead"), bits.alias("bits"), "n", "lead_n")
-    near = met.filter((F.col("bits") <= FAR) & (F.least("n", "lead_n") >= F.greatest("n", "lead_n") * similarity - 1e-9))
-    best = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "lead"))), 1, NEAREST).alias("best"))
-    return best.select("node", F.explode("best.lead").alias("lead")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    # 4 leaders for each of 11 * 4096 groups at most (10 MB), however many texts there are.
+    table = leads.join(prints, "node").select("g", "node", "n", "a", "b", "c", "d").toArrow()
+    known = np.stack([c.to_numpy() for c in table.columns])
+    known = known[:, known[0].argsort(kind="stable")]
+    sent = prints.sparkSession.sparkContext.broadcast((known, np.searchsorted(known[0], np.arange((PARTS << 12) + 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, start = sent.value
+        lead_fp = np.ascontiguousarray(known[3:].T).view(U)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = np.stack([c.to_numpy() for c in batch.slice(at, 1000).columns])
+                fp = np.ascontiguousarray(rows[2:].T).view(U)
+                g = part_indices(fp).reshape(rows.shape[1], -1)
+                count = (start[g + 1] - start[g]).ravel()
+                i = np.repeat(np.repeat(np.arange(len(g)), g.shape[1]), count)
+                lead = np.repeat(start[g].ravel(), count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+                bits = np.bitwise_count(fp[i] ^ lead_fp[lead]).sum(1, dtype=np.int64)
+                n, lead_n = rows[1, i], known[2, lead]
+                near = (bits <= FAR) & (np.minimum(n, lead_n) >= np.maximum(n, lead_n) * similarity - 1e-9) & (known[1, lead] != rows[0, i])
+                i, node, bits = i[near], known[1, lead[near]], bits[near]
+                order = np.lexsort((node, bits, i))
+                i, node = i[order], node[order]
+                once = np.append(True, (i[1:] != i[:-1]) | (node[1:] != node[:-1]))[: len(i)]
+                i, node = i[once], node[once]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < NEAREST
+                own, node = rows[0, i[best]], node[best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, node)), pa.array(np.maximum(own, node))], ["a", "b"])
+
+    return prints.select("node", "n", "a", "b", "c", "d").mapInArrow(run, "a long, b long").distinct()
 
 
 def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
