@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bwt_dedup, cover_dedup, decontaminate, html_text, langid, pii, piece_bpe, simhash, tokens
+from . import audio, bwt_dedup, cover_dedup, decontaminate, html_text, langid, packing, periods, pii, piece_bpe, simhash, tokens, turns
 from .common import read_table
 
 
@@ -61,13 +63,36 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(read_table(spark, sf_dir, "documents"), tokenizer_path(spark, "piece_bpe_32k.model"))
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """For ids whose checksum ends in 0, the words from some place on repeat three to ten times; null ids stay as they are."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    at = h // 10 % len(words)
+    period = 1 + (len(words) - at) // (3 + h // 10 % 8)
+    times = -(-(len(words) - at) // period)
+    return words[:at] + (words[at : at + period] * times)[: len(words) - at]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(read_table(spark, sf_dir, "documents"), prepare=repeated_tail))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(spark, "word_bpe_49k.json"))
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_digests(turns.repaired(turns.damaged(read_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_audio, op3_pii, op4_html, op5_language, op6_bwt_dedup, op7_decontaminate, op8_token_sections, op9_cover_dedup, op10_pieces, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_audio, op3_pii, op4_html, op5_language, op6_bwt_dedup, op7_decontaminate, op8_token_sections, op9_cover_dedup, op10_pieces, op11_periodic_runs, op12_packing, op13_turns, pipeline)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
