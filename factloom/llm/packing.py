@@ -22,8 +22,10 @@ rows are packed apart; an empty table gives an empty result; extra columns are i
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import cut_lineage
 
 CAPACITY, END = 4096, 1
 #: Words held in each of two generations; longer ones are not held.
 KEEP_WORDS, SHORT = 500_000, 64
+#: ASCII marks, and the signs that begin special tokens.
+MARKS, SIGN = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"<|"
 #: Rounds over the histogram, the price's fall for a length wholly covered, and how near to the best price a configuration must come.
 PHASES, RATE, NEAR = 2, 0.1, 0.05
 #: Least share of a sequence that a configuration of the program fills.
@@ -51,35 +56,61 @@ Config = tuple[tuple[int, int], ...]
 class WordIds:
     """Ids of texts as little-endian 32-bit numbers.
 
-    White space is dropped and no token of this vocabulary reaches across it, so words
-    between ASCII white space are encoded apart, once each while they are remembered.
+    White space is dropped, case is dropped, and no token of this vocabulary reaches
+    across white space or from a letter or digit into the marks after it. So words are
+    encoded apart, each once while it is remembered, and marks at a word's end apart
+    from it. Texts with the signs of a special token are taken as they are.
     """
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        # The sign that stands for each byte of UTF-8, as the library has it.
+        signs = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        some = map(chr, [*range(1, 0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x110000, 0x1000)])
+        self.letter = {b: sign for c in some if not c.isspace() for b, sign in zip(c.encode(), signs(c)[0][0], strict=True)}
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes]:
+        """A word without the marks at its end, and these; whole where they may belong together."""
+        core = word.rstrip(MARKS)
+        return (core, word[len(core) :]) if core[-1:].isalnum() and SIGN not in word else (word, b"")
+
+    def plain(self, word: bytes) -> bytes | None:
+        """Ids of lower-case letters alone, which reach the library's model as they are; None for other words."""
+        if word.isalpha() and word.islower():
+            text = word.decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            if not text.isalpha() or text.lower() != text or not is_normalized("NFC", text):
+                return None
+            text = "".join(map(self.letter.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.lib.model.tokenize(text)]).tobytes()
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words; short ones are remembered."""
-        out = {w: self.older[w] for w in words if w in self.older}
-        fresh = [w for w in words if w not in out]
-        coded = self.lib.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        out |= {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(fresh, coded, strict=True)}
+        cut = {w: self.parts(w) for w in words if w not in self.older}
+        own = {x: self.known.get(x) or self.older.get(x) or self.plain(x) for x in {x for pair in cut.values() for x in pair if x}}
+        fresh = [x for x, ids in own.items() if ids is None]
+        coded = self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)
+        own |= {x: array("I", c.ids).tobytes() for x, c in zip(fresh, coded, strict=True)}
+        out = {w: own[core] + own.get(marks, b"") for w, (core, marks) in cut.items()}
+        out |= {w: self.older[w] for w in words if w not in out}
         if len(self.known) >= KEEP_WORDS:
             self.older, self.known = self.known, {}
-        self.known |= {w: b for w, b in out.items() if len(w) <= SHORT}
+        self.known |= {w: ids for w, ids in (own | out).items() if len(w) <= SHORT}
         return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text; new words of all of them are encoded in one call."""
-        split = [text.split() for text in texts]
-        new = {w for words in split for w in words if w not in self.known}
+        split = [(text if SIGN in text else text.lower()).split() for text in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
         if not new:
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        before = self.known
+            return [b"".join(ids) for ids in found]
         held = self.learn(new)
-        return [b"".join([before[w] if w in before else held[w] for w in words]) for words in split]
+        return [b"".join([held[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -135,7 +135,7 @@ def test_equal_lengths_are_grouped():
 
 def test_word_ids_equal_the_library():
     coder, rnd = packing.WordIds(VOCABULARY), random.Random(2)
-    letters = ["a", "B", "é", "é", "ß", "İ", "Σ", "ς", "'s", "'", " ", " ", "\x1c", "\x85", " ", "\n", "\t", "\x0b", "7", "٣", "<|endoftext|>", "<|", "日本", "😀", ".", "́", "‍"]
+    letters = ["a", "B", "é", "é", "ß", "İ", "Σ", "ς", "'s", "'", " ", " ", "\x1c", "\x85", " ", "\n", "\t", "\x0b", "7", "٣", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", ",", "-", "|>", "I", "\u0307", "K", "\x00", "日本", "ñandú", "straße", "привет", "\U0001d51e", "😀", ".", "́", "‍"]
     texts = ["", " ", *("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 60))) for _ in range(600)), "x" * 5000]
     expected = [c.ids for c in coder.lib.encode_batch(texts, add_special_tokens=False)]
     raw = [t.encode() for t in texts]
