@@ -6,24 +6,30 @@ are built once and type tests become ``IN`` lists that reach the scan as filters
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Deepest subtype chain followed.
-MAX_DEPTH = 16
+from .sources.shared import cut
 
+def type_closure(sub: DataFrame) -> DataFrame:
+    """(sub, super, depth) for every type and each of its supertypes, itself included at depth 0.
 
-def type_closure(sub: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(sub, super, depth) for every type and each of its supertypes, itself included at depth 0."""
-    edges = sub.select(F.col("sub").alias("child"), F.col("super").alias("parent")).filter("child is not null and parent is not null").distinct()
-    level = edges.select(F.col("child").alias("t")).union(edges.select("parent")).distinct().select(F.col("t").alias("sub"), F.col("t").alias("super"), F.lit(0).alias("depth"))
-    closure = level
-    for depth in range(1, max_depth + 1):
-        level = level.join(edges, F.col("super") == F.col("child")).select("sub", F.col("parent").alias("super"), F.lit(depth).alias("depth")).distinct()
-        if level.isEmpty():
+    Paths are doubled until no pair is new, so a chain of n types takes about log2(n)
+    rounds; each leaves a checkpoint. A cycle raises ValueError.
+    """
+    edges = sub.select(F.col("sub"), F.col("super")).filter("sub is not null and super is not null").distinct()
+    reach, known = cut(edges.withColumn("depth", F.lit(1))), -1
+    while True:
+        n, cycle = reach.agg(F.count(F.lit(1)), F.coalesce(F.bool_or(F.col("sub") == F.col("super")), F.lit(False))).first()
+        if cycle:
+            raise ValueError("types form a cycle")
+        if n == known:
             break
-        closure = closure.unionByName(level)
-    return closure.groupBy("sub", "super").agg(F.min("depth").alias("depth"))
+        known = n
+        twice = reach.alias("a").join(reach.alias("b"), F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        reach = cut(reach.union(twice).groupBy("sub", "super").agg(F.min("depth").alias("depth")))
+    names = edges.select("sub").union(edges.select("super")).distinct()
+    return names.select("sub", F.col("sub").alias("super"), F.lit(0).alias("depth")).union(reach)
 
 
 def subtypes(closure: DataFrame, name: str) -> list[str]:
@@ -73,10 +79,6 @@ def relation_wiring(plays: DataFrame, relates: DataFrame, order: list[str]) -> D
     return best.select("entity", "w.relation", "w.entity_role", "w.provision_role")
 
 
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)
-
-
 def value_types(owned: DataFrame, declared: DataFrame) -> DataFrame:
     """(type_name, attr, value_type) with the names used for storage; unknown types are stored as strings."""
     kind = F.col("value_type")

@@ -17,6 +17,26 @@ def tokenize(c: Column, stop_words: list[str], least: int = 3) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stops, w)))
 
 
+def grams(c: Column, size: int = 3) -> Column:
+    """Distinct stretches of ``size`` letters; empty for shorter words."""
+    places = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1))
+    return F.coalesce(F.array_distinct(F.transform(places, lambda i: F.substr(c, i, F.lit(size)))), F.array().cast("array<string>"))
+
+
+def holding_words(words: DataFrame, keywords: DataFrame, size: int = 3) -> DataFrame:
+    """(word, keyword) for every word that holds a keyword of at least ``size`` letters.
+
+    An inverted index: words by all their grams, a keyword by the one of its grams that the
+    fewest words have. They meet by equality and are verified, so no pair is tried in vain
+    but for that gram. Both tables have distinct rows.
+    """
+    indexed = words.select("word", F.explode(grams(F.col("word"), size)).alias("gram"))
+    often = indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = keywords.filter(F.length("keyword") >= size).select("keyword", F.explode(grams(F.col("keyword"), size)).alias("gram")).join(often, "gram", "left")
+    rarest = own.groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("keyword", "r.gram")
+    return indexed.join(rarest, "gram").filter(F.contains("word", "keyword")).select("word", "keyword")
+
+
 def page_marker(n: Column) -> Column:
     return F.concat(F.lit("[PAGE "), n.cast("string"), F.lit("]"))
 

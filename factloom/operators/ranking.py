@@ -58,3 +58,16 @@ def greedy_batches(items: DataFrame, group: str, key: str, cost: str, budget: fl
         return F.struct(batch.alias("batch"), used.alias("used"), F.coalesce(F.concat(acc["out"], row), row).alias("out"))
 
     return listed.select(group, F.inline(F.aggregate("items", start, step, lambda acc: acc["out"]))).select(group, F.col("key").alias(key), "batch")
+
+
+def first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All rows of the first source, in the order given, that has any for a key; ``source`` is its number.
+
+    One ranked union and one shuffle by key. Columns that a source lacks are null.
+    """
+    ranked = [df.withColumn("source", F.lit(i)) for i, df in enumerate(sources)]
+    every = ranked[0]
+    for df in ranked[1:]:
+        every = every.unionByName(df, allowMissingColumns=True)
+    best = F.min("source").over(Window.partitionBy(*keys))
+    return every.withColumn("_best", best).filter("source = _best").drop("_best")

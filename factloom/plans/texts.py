@@ -127,13 +127,13 @@ def route_scores(g: Graph) -> DataFrame:
     """(question, category, score): twice the shared words of weight, ten for the whole name, one for each keyword inside.
 
     A keyword counts where the question has it, also inside a longer word; the distinct
-    words of all questions meet the distinct keywords once (both vocabulary-sized), and
+    words of all questions meet the distinct keywords by their three-letter grams, and
     questions meet categories through what was found there.
     """
     asked = questions(g).withColumn("low", F.lower("text"))
     keywords = categories(g).select("category", F.explode("keywords").alias("keyword"))
     words = asked.select("question", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("word"))
-    found = words.select("word").distinct().join(keywords.select("keyword").distinct(), F.contains("word", "keyword"))
+    found = T.holding_words(words.select("word").distinct(), keywords.select("keyword").distinct())
     inside = words.join(found, "word").select("question", "keyword").distinct()
     exact = asked.select("question", F.explode(keyword_set(F.col("text"))).alias("keyword")).withColumn("shared", F.lit(2))
     points = inside.join(exact, ["question", "keyword"], "left").select("question", "keyword", (F.coalesce("shared", F.lit(0)) + 1).alias("points"))
