@@ -127,3 +127,57 @@ def defined_terms(docs: DataFrame, terms: list[str] = TERMS) -> DataFrame:
     definition = F.trim(F.concat(F.substring(text, start - lead + 1, lead + 50), rest))
     term = F.element_at(F.array(*map(F.lit, terms)), F.col("rank").cast("int"))
     return best.select("doc_id", term.alias("term"), "start", definition.alias("definition"))
+
+
+# Stand for an escaped backslash, quote or semicolon while a text is cut. They are no characters
+# of any text (noncharacters of Unicode); where a text has them all the same, they become those.
+_HELD = ("\ufdd0", "\ufdd1", "\ufdd2")
+
+
+def _swapped(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    for a, b in pairs:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def without_comments(c: Column) -> Column:
+    """Lines that begin with ``#`` made empty, so that line numbers stay."""
+    return F.regexp_replace(c, r"(^|\n)[ \t\f\x0B\r]*#[^\n]*", "$1")
+
+
+def statement_pieces(c: Column) -> Column:
+    """A text cut at the semicolons that end statements: those that are neither escaped nor inside quotes.
+
+    Escaped pairs are held apart first. What is left between quotes is, by turns, outside
+    and inside, so one split by quotes settles every semicolon at once.
+    """
+    slash, quote, end = _HELD
+    held = _swapped(c, [("\\\\", slash * 2), ('\\"', "\\" + quote), ("\\;", "\\" + end)])
+    inside = F.transform(F.split(held, '"', -1), lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(";"), F.lit(end))).otherwise(x))
+    return F.transform(F.split(F.array_join(inside, '"'), ";", -1), lambda x: _swapped(x, [(slash, "\\"), (quote, '"'), (end, ";")]))
+
+
+def statement_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, statement, line, closed, text): the statements of every text in order, with the line each begins in; blank ones are left out, and the last may lack its semicolon.
+
+    A null text has none. Texts of one key are told apart by row.
+    """
+    cut = docs.select(F.monotonically_increasing_id().alias("_row"), key, statement_pieces(without_comments(F.col("text"))).alias("pieces"))
+    each = cut.select("_row", key, F.size("pieces").alias("of"), F.posexplode("pieces").alias("at", "piece"))
+    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lead = ends(F.regexp_extract("piece", r"^[\s\x0B]*", 0))
+    placed = each.withColumn("line", F.coalesce(F.sum(ends(F.col("piece"))).over(before), F.lit(0)) + lead + 1)
+    full = placed.filter(F.col("piece").rlike(r"[^\s\x0B]"))
+    numbered = full.withColumn("statement", F.row_number().over(Window.partitionBy("_row").orderBy("at")))
+    return numbered.select(key, "statement", "line", (F.col("at") + 1 < F.col("of")).alias("closed"), F.regexp_replace("piece", r"^[\s\x0B]+|[\s\x0B]+$", "").alias("text"))
+
+
+def attributes_of(statement: Column) -> Column:
+    """Array of (attr, kind, value) from the ``has <attr> <value>`` pairs of a statement; quoted values without quotes and escapes."""
+    pair = r'\bhas\s+([a-z_][a-z0-9_]*)\s+("(?:[^"\\]|\\.)*+"|true|false|-?[0-9]+(?:\.[0-9]+)?)'
+    value = lambda m: F.regexp_extract(m, pair, 2)
+    kind = lambda v: F.when(F.startswith(v, F.lit('"')), "string").when(v.isin("true", "false"), "boolean").when(F.contains(v, F.lit(".")), "double").otherwise("long")
+    bare = lambda v: F.when(F.startswith(v, F.lit('"')), _swapped(F.substring(v, F.lit(2), F.length(v) - 2), [("\\\\", _HELD[0]), ("\\n", "\n"), ("\\t", "\t"), ("\\", ""), (_HELD[0], "\\")])).otherwise(v)
+    found = F.regexp_extract_all(statement, F.lit(pair), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, pair, 1).alias("attr"), kind(value(m)).alias("kind"), bare(value(m)).alias("value")))

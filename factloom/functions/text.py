@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_SLICE = 200_000
@@ -60,6 +60,26 @@ def citations(text: Column) -> Column:
     return F.transform(found, lambda m: F.struct(F.nullif(F.trim(F.regexp_extract(m, r"^\[([^\[\],]+), ?p\.", 1)), F.lit("")).alias("section"), F.regexp_extract(m, r"p\.\s?([0-9]+)\]", 1).cast("int").alias("page")))
 
 
+def cited(section: Column, page: Column) -> Column:
+    """`` [Section, p.N]`` by what there is of both; empty without either."""
+    p = F.concat(F.lit("p."), page.cast("string"))
+    inner = F.concat_ws(", ", section, p)
+    return F.when(section.isNull() & page.isNull(), F.lit("")).otherwise(F.concat(F.lit(" ["), inner, F.lit("]")))
+
+
+def ordered_citations(cited: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """(keys, page, section, place): citations in page order, those with a section before a page alone, then by ``seq``.
+
+    A page alone is kept once, and only where no citation with a section has it.
+    """
+    page = Window.partitionBy(*keys, "page")
+    alone = F.col("section").isNull()
+    first = F.row_number().over(page.orderBy(alone, seq))
+    marked = cited.withColumn("_named", F.bool_or(~alone).over(page)).withColumn("_n", first).filter(~alone | (~F.col("_named") & (F.col("_n") == 1)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("page", F.col("section").isNull(), seq))
+    return marked.select(*keys, "page", "section", place.alias("place"))
+
+
 def section_reference(text: Column) -> Column:
     """First ``Section 1.02(a)``-like reference, else ``§``-like."""
     one = F.nullif(F.regexp_extract(text, r"(?i)section\s+([0-9]+\.[0-9]+(?:\([a-z0-9]+\))*)", 1), F.lit(""))

@@ -1,4 +1,4 @@
-"""Round trips through the writers and readers of side tables."""
+"""Round trips through published side tables."""
 
 from __future__ import annotations
 
@@ -11,30 +11,54 @@ from .model import Graph, query
 
 @query("snk01_insert_rows", "SELECT n_nationkey AS deal_id, n_name AS deal_name FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name FROM region")
 def insert_rows(g: Graph) -> DataFrame:
-    """Two inserts into one table: rows are added, none is replaced."""
-    path = io.place(g.spark, "deals")
-    io.append_rows(g.table("nation").select(F.col("n_nationkey").cast("long").alias("deal_id"), F.col("n_name").alias("deal_name")), path, fresh=True)
-    io.append_rows(g.table("region").select((F.col("r_regionkey") + 1000).cast("long").alias("deal_id"), F.col("r_name").alias("deal_name")), path)
-    return g.spark.read.parquet(path)
+    """Two inserts into one table, published together: rows are added, none is replaced."""
+    deals = io.table(g.spark, "deals")
+    folder = deals.fresh()
+    g.table("nation").select(F.col("n_nationkey").cast("long").alias("deal_id"), F.col("n_name").alias("deal_name")).write.parquet(folder)
+    g.table("region").select((F.col("r_regionkey") + 1000).cast("long").alias("deal_id"), F.col("r_name").alias("deal_name")).write.mode("append").parquet(folder)
+    deals.publish(folder)
+    return g.spark.read.parquet(folder)
 
 
 @query("src07_universe_cache", "SELECT s_suppkey AS doc_id, concat('Article ', s_nationkey, chr(10), '\"', s_name, '\"') AS text FROM supplier")
 def universe_cache(g: Graph) -> DataFrame:
     """Texts written as a JSON cache (quotes and line ends included) and read back."""
-    path = io.place(g.spark, "universe")
     text = F.concat(F.lit("Article "), F.col("s_nationkey").cast("string"), F.lit('\n"'), F.col("s_name"), F.lit('"'))
-    io.save_json(g.table("supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), text.alias("text")), path)
-    return io.load_json(g.spark, path, "doc_id long, text string")
+    rows = g.table("supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), text.alias("text"))
+    folder = io.table(g.spark, "universe").write(rows, form="json", ignoreNullFields="false")
+    return io.load_json(g.spark, folder, "doc_id long, text string")
+
+
+_QUESTIONS = "questions array<struct<id: long, text: string>>"
+
+
+def gold(g: Graph) -> DataFrame:
+    """(name, questions): gold standards saved as nested documents and read back, one a region."""
+    rows = g.table("region").join(g.table("nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    asked = F.when(F.col("n_nationkey").isNotNull(), F.struct(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("text")))
+    docs = rows.groupBy(F.col("r_name").alias("name")).agg(F.array_sort(F.collect_list(asked)).alias("questions"))
+    folder = io.table(g.spark, "gold").write(docs, form="json", ignoreNullFields="false")
+    return io.load_json(g.spark, folder, f"name string, {_QUESTIONS}")
 
 
 @query("snk13_gold_standard", "SELECT r_name AS name, count(n_nationkey) AS questions FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def gold_standard(g: Graph) -> DataFrame:
-    """Gold standards saved as nested documents; the listing counts their questions."""
-    path = io.place(g.spark, "gold")
-    rows = g.table("region").join(g.table("nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    docs = rows.groupBy(F.col("r_name").alias("name")).agg(F.array_sort(F.collect_list(F.when(F.col("n_nationkey").isNotNull(), F.struct(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("text"))))).alias("questions"))
-    io.save_json(docs, path)
-    return io.load_json(g.spark, path, "name string, questions array<struct<id: long, text: string>>").select("name", F.size("questions").cast("long").alias("questions"))
+    """Gold standards in a listing that counts their questions."""
+    return gold(g).select("name", F.size("questions").cast("long").alias("questions"))
+
+
+@query("oth23_gold_questions", "SELECT r_name AS name, n_nationkey AS id, n_name AS text FROM nation JOIN region ON r_regionkey = n_regionkey")
+def gold_questions(g: Graph) -> DataFrame:
+    """The questions of every gold standard; one set is a filter on its name."""
+    return gold(g).select("name", F.inline("questions")).select("name", "id", "text")
+
+
+@query("oth23_set_menu", "SELECT concat(row_number() OVER (ORDER BY name), '. ', name, ' (', questions, ' questions)') AS line FROM (SELECT r_name AS name, count(n_nationkey) AS questions FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)")
+def set_menu(g: Graph) -> DataFrame:
+    """The sets as numbered lines; there are a handful."""
+    listed = gold(g).agg(F.array_sort(F.collect_list(F.struct("name", F.size("questions").alias("n")))).alias("sets"))
+    each = listed.select(F.posexplode("sets").alias("at", "s"))
+    return each.select(F.concat((F.col("at") + 1).cast("string"), F.lit(". "), "s.name", F.lit(" ("), F.col("s.n").cast("string"), F.lit(" questions)")).alias("line"))
 
 
 _THREE = " UNION ALL ".join(f"SELECT '{k}' AS format, n_nationkey AS id, n_name AS name FROM nation" for k in ("json", "table", "text"))
@@ -42,18 +66,37 @@ _THREE = " UNION ALL ".join(f"SELECT '{k}' AS format, n_nationkey AS id, n_name
 
 @query("snk11_three_formats", _THREE)
 def three_formats(g: Graph) -> DataFrame:
-    """One result in three formats, each read back as the same rows."""
-    path = io.place(g.spark, "results")
-    io.save_results(g.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), path, "id", "name")
-    text = g.spark.read.text(f"{path}/text").select(F.substring_index("value", ": ", 1).cast("long").alias("id"), F.regexp_extract("value", r"(?s)^\d+: (.*)$", 1).alias("name"))
-    each = {"json": io.load_json(g.spark, f"{path}/json", "id long, name string"), "table": g.spark.read.parquet(f"{path}/table"), "text": text}
+    """One result in three formats, published together, each read back as the same rows."""
+    results = io.table(g.spark, "results")
+    folder, rows = results.fresh(), g.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    rows.write.option("ignoreNullFields", "false").json(f"{folder}/json")
+    rows.write.parquet(f"{folder}/table")
+    rows.select(F.concat_ws(": ", F.col("id").cast("string"), "name").alias("value")).write.text(f"{folder}/text")
+    results.publish(folder)
+    text = g.spark.read.text(f"{folder}/text").select(F.substring_index("value", ": ", 1).cast("long").alias("id"), F.regexp_extract("value", r"(?s)^\d+: (.*)$", 1).alias("name"))
+    each = {"json": io.load_json(g.spark, f"{folder}/json", "id long, name string"), "table": g.spark.read.parquet(f"{folder}/table"), "text": text}
     named = [df.select(F.lit(k).alias("format"), "id", "name") for k, df in each.items()]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
-@query("src13_newest_results", "SELECT count(*) >= 1 AND count(*) <= 20 AS some, true AS sized FROM nation WHERE n_nationkey < 20")
+_RESULTS = "SELECT concat('eval_', lpad(CAST(user_id AS VARCHAR), 9, '0'), '_', strftime(max(ts), '%Y%m%d%H%M%S')) AS name, count(*) AS answers FROM events GROUP BY user_id"
+
+
+def eval_results(g: Graph) -> str:
+    """The folder of one saved result a deal, each under a name with its deal and time."""
+    own = g.table("events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("answers"))
+    name = F.concat(F.lit("eval_"), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("_"), F.date_format("ts", "yyyyMMddHHmmss"))
+    return io.table(g.spark, "evals").write(own.select(name.alias("name"), "answers").repartition("name"), form="json", partitions=("name",))
+
+
+@query("src13_newest_results", f"SELECT row_number() OVER (ORDER BY name DESC) AS place, name, 1 AS files FROM ({_RESULTS}) QUALIFY place <= 20")
 def newest_results(g: Graph) -> DataFrame:
-    """At most the twenty newest result files, from their metadata alone."""
-    path = io.place(g.spark, "listing")
-    io.save_json(g.table("nation").repartition(3), path)
-    return io.newest(g.spark, path).agg(F.count(F.lit(1)).between(1, 20).alias("some"), (F.min("bytes") > 0).alias("sized"))
+    """The last twenty results by name, in order, from the files' metadata alone."""
+    return io.newest(g.spark, eval_results(g)).select("place", "name", "files")
+
+
+@query("oth23_eval_results", f"SELECT name, answers FROM ({_RESULTS})")
+def eval_rows(g: Graph) -> DataFrame:
+    """Every saved result with its content; the results of one deal are those of its prefix."""
+    rows = g.spark.read.schema("answers long, name string").json(eval_results(g))
+    return rows.filter(F.startswith("name", F.lit("eval_"))).select("name", "answers")

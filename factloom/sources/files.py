@@ -1,7 +1,6 @@
-"""Writers and readers of the side tables: JSON caches, gold standards, results in three formats, listings.
+"""Readers of side tables: JSON rows, listings of files by name.
 
-All of them go through Spark's own readers and writers, so any store that Spark
-knows will do. A null or empty table writes an empty folder of its schema.
+All of them go through Spark's own readers, so any store that Spark knows will do.
 """
 
 from __future__ import annotations
@@ -9,20 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .snapshots import Snapshots, root_of
 
-def place(spark: SparkSession, name: str) -> str:
-    """A folder for a named side table, in the warehouse that driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/factloom_files/{name}"
 
-
-def append_rows(df: DataFrame, path: str, fresh: bool = False) -> None:
-    """Rows added to a Parquet table (``fresh`` starts it anew)."""
-    df.write.mode("overwrite" if fresh else "append").parquet(path)
-
-
-def save_json(df: DataFrame, path: str) -> None:
-    """One JSON document a row; an older state of the table goes."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def table(spark: SparkSession, name: str) -> Snapshots:
+    return Snapshots(spark, root_of(spark, name))
 
 
 def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -30,14 +20,13 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def save_results(df: DataFrame, path: str, key: str, line: str) -> None:
-    """Results in three formats side by side: JSON rows, a table, and one text line each."""
-    save_json(df, f"{path}/json")
-    df.write.mode("overwrite").parquet(f"{path}/table")
-    df.select(F.concat_ws(": ", F.col(key).cast("string"), F.col(line).cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/text")
-
+def newest(spark: SparkSession, path: str, limit: int = 20, prefix: str = "") -> DataFrame:
+    """(place, name, files, bytes) of the newest results below a folder, whose names hold their time; from the files' metadata, contents are not read.
 
-def newest(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """(name, bytes) of the newest files below a folder, by time and then name; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    return files.orderBy(F.desc("modificationTime"), "path").limit(limit).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"))
+    A result is a partition ``name=...``; the last names come first.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    named = files.withColumn("name", F.regexp_extract("path", "/name=([^/]+)/", 1)).filter(F.startswith("name", F.lit(prefix)) & (F.col("name") != ""))
+    top = named.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("name")).limit(limit)
+    # At most ``limit`` rows are numbered.
+    return top.agg(F.sort_array(F.collect_list(F.struct("name", "files", "bytes")), asc=False).alias("all")).select(F.posexplode("all").alias("place", "x")).select((F.col("place") + 1).alias("place"), "x.name", "x.files", "x.bytes")
