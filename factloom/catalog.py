@@ -37,15 +37,6 @@ def subtypes(closure: DataFrame, name: str) -> list[str]:
     return sorted({name, *(r[0] for r in closure.filter(F.col("super") == name).select("sub").collect())})
 
 
-def isa(column: str, names: list[str]) -> Column:
-    """Subtype-inclusive test, as a filter that a scan can use."""
-    return F.col(column).isin(*names)
-
-
-def isa_exact(column: str, name: str) -> Column:
-    return F.col(column) == name
-
-
 def owned_attributes(owns: DataFrame, closure: DataFrame) -> DataFrame:
     """(type_name, attr, is_key): attributes a type owns itself or by inheritance."""
     inherited = closure.join(owns, closure.super == owns.type_name).select(closure.sub.alias("type_name"), "attr", "is_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import catalog
 from ..operators.match import checked, strict_sum
 from .model import BUILDER, EBITDA, INCREMENTAL, RATIO, Graph, dollars, query
 
@@ -152,20 +153,21 @@ def cost_over_traces(g: Graph) -> DataFrame:
 
 @query(
     "agg13_category_covenant",
-    """SELECT label, CASE WHEN count(DISTINCT ptype) = 1 AND min(ptype) IN ('mfn', 'di') THEN min(ptype) ELSE 'rp' END AS covenant
-    FROM b JOIN p USING (provision_id) WHERE qty >= 50 AND line = 7 GROUP BY 1""",
+    """SELECT deal_id, label, CASE WHEN count(DISTINCT ptype) = 1 AND min(ptype) IN ('mfn', 'di') THEN min(ptype) ELSE 'rp' END AS covenant
+    FROM b JOIN p USING (provision_id) GROUP BY 1, 2""",
     "bp",
 )
 def category_covenant(g: Graph) -> DataFrame:
-    kinds = g.baskets.filter("qty >= 50 and line = 7").join(g.provisions, "provision_id").groupBy("label").agg(F.collect_set("ptype").alias("s"))
-    return kinds.select("label", F.when((F.size("s") == 1) & F.col("s")[0].isin("mfn", "di"), F.col("s")[0]).otherwise("rp").alias("covenant"))
+    """The covenant of every label of a deal: one kind if all its provisions agree on it, else rp."""
+    kinds = g.baskets.join(g.provisions, "provision_id").groupBy("deal_id", "label").agg(F.collect_set("ptype").alias("s"))
+    return kinds.select("deal_id", "label", F.when((F.size("s") == 1) & F.col("s")[0].isin("mfn", "di"), F.col("s")[0]).otherwise("rp").alias("covenant"))
 
 
 @query("agg14_attributes_of_all", "SELECT p_size AS attr FROM part GROUP BY 1 HAVING count(DISTINCT p_type) = (SELECT count(DISTINCT p_type) FROM part)")
 def attributes_of_all(g: Graph) -> DataFrame:
-    part = g.table("part")
-    need = part.agg(F.count_distinct("p_type").alias("need"))
-    return part.groupBy(F.col("p_size").alias("attr")).agg(F.count_distinct("p_type").alias("have")).join(need, F.col("have") == F.col("need")).select("attr")
+    """Sizes that every type owns."""
+    owned = g.table("part").select(F.col("p_type").alias("type_name"), F.col("p_size").cast("string").alias("attr"))
+    return catalog.attributes_of_all(owned, owned).select(F.col("attr").cast("int").alias("attr"))
 
 
 @query("agg15_distinct_types", "SELECT DISTINCT answer_type FROM a", "a")

@@ -62,7 +62,9 @@ def not_has_attr(g: Graph) -> DataFrame:
 
 @query("flt06_not_isa", f"SELECT entity_id FROM b WHERE super_type <> '{RATIO}' AND type_name <> '{BUILDER}'", "b")
 def not_isa(g: Graph) -> DataFrame:
-    return g.baskets.filter((F.col("super_type") != RATIO) & (F.col("type_name") != BUILDER)).select("entity_id")
+    """Instances of neither a type with its subtypes nor another exact type."""
+    closure = type_closure(g.sub()).filter(F.col("super") == RATIO).select(F.col("sub").alias("path"))
+    return without(g.baskets.filter(F.col("type_name") != BUILDER).withColumn("path", F.concat_ws("/", "super_type", "type_name")), closure, "path").select("entity_id")
 
 
 @query("flt07_like", "SELECT deal_id FROM d WHERE regexp_matches(deal_name, '^.*#0+[0-9]*7$')", "d")
@@ -123,15 +125,15 @@ def multi_hop(g: Graph) -> DataFrame:
     "jon05_links",
     """WITH rp AS (SELECT entity_id AS rel, rel_type, slot, player FROM (
       SELECT entity_id, 'supply' AS rel_type, 'supplier' AS slot, CAST(suppkey AS BIGINT) AS player FROM b UNION ALL
-      SELECT entity_id, 'supply', 'part', partkey FROM b UNION ALL SELECT entity_id, 'extracted', 'provision', provision_id FROM b))
+      SELECT entity_id, 'supply', 'part', partkey FROM b UNION ALL SELECT entity_id, 'extracted', 'provision', provision_id FROM b UNION ALL SELECT entity_id, 'annotated', 'line', line FROM b))
     SELECT DISTINCT x.rel, x.slot AS my_slot, y.slot AS their_slot, x.player AS entity_id, y.player AS linked_id FROM rp x JOIN rp y ON x.rel = y.rel AND x.slot <> y.slot WHERE x.rel_type = 'supply' AND y.rel_type = 'supply'""",
     "b",
 )
 def link_discovery(g: Graph) -> DataFrame:
-    """Ordered pairs of players, the extraction family left out."""
+    """Ordered pairs of players, the families of extraction and annotation left out."""
     slot = lambda name, rel, c: F.struct(F.lit(rel).alias("rel_type"), F.lit(name).alias("slot"), F.col(c).cast("long").alias("player_id"))
-    players = g.baskets.select(F.col("entity_id").alias("rel_id"), F.inline(F.array(slot("supplier", "supply", "suppkey"), slot("part", "supply", "partkey"), slot("provision", "extracted", "provision_id"))))
-    return links(players, ["extracted"]).select(F.col("rel_id").alias("rel"), "my_slot", "their_slot", "entity_id", "linked_id").distinct()
+    players = g.baskets.select(F.col("entity_id").alias("rel_id"), F.inline(F.array(slot("supplier", "supply", "suppkey"), slot("part", "supply", "partkey"), slot("provision", "extracted", "provision_id"), slot("line", "annotated", "line"))))
+    return links(players, ["extracted", "annotated"]).select(F.col("rel_id").alias("rel"), "my_slot", "their_slot", "entity_id", "linked_id").distinct()
 
 
 @query("jon06_try_optional", "SELECT o_orderkey AS provision_id, CAST(min(l_linenumber) AS INT) AS first_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import mutate as M
@@ -73,8 +73,9 @@ def retrieval(g: Graph) -> DataFrame:
     reached = asked.select("provision_id", "question", F.col("provision_id").alias("target_id")).unionByName(crossed)
     docs = documents(g).withColumnRenamed("provision_id", "target_id")
     fetched = reached.join(docs, "target_id").join(wanted_types(g).withColumn("wanted", F.lit(True)), ["question", "type_name"], "left")
-    some = fetched.groupBy("provision_id").agg(F.bool_or(F.coalesce("wanted", F.lit(False))).alias("some"))
-    kept = fetched.join(some, "provision_id").filter(~F.col("some") | F.col("wanted"))
+    # The window's shuffle by provision serves the aggregation as well.
+    some = F.bool_or(F.coalesce("wanted", F.lit(False))).over(Window.partitionBy("provision_id"))
+    kept = fetched.withColumn("some", some).filter(~F.col("some") | F.col("wanted"))
     own = F.col("type_name")
     tier = F.when(own.isin(*PRIMARY), "primary").when(own.isin(*SUPPLEMENTARY), "supplementary").when(F.col("super_type") == "PROMO", "primary").otherwise("excluded")
     shown = F.concat("entity_id", F.lit(": "), "attributes", F.lit(" | "), "children", F.lit(" | "), "links")
