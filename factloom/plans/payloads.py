@@ -26,11 +26,18 @@ def statements(g: Graph) -> DataFrame:
     return S.statement_spans(docs).select("doc_id", "statement", "line", "closed", F.md5("text").alias("digest"))
 
 
-def scripts(g: Graph) -> DataFrame:
-    """(file, text): seed scripts of three lines a question: a comment, then a statement whose values hold semicolons, escapes and quotes."""
-    k, q = F.col("p_partkey").cast("string"), '"'
+def scripts(g: Graph, gaps: bool = False) -> DataFrame:
+    """(file, text): seed scripts of three lines a question: a comment, then a statement whose values hold semicolons, escapes and quotes.
+
+    With ``gaps``, some statements lack a share or have a blank id.
+    """
+    k, q, size = F.col("p_partkey").cast("string"), '"', F.col("p_size")
+    share = F.concat(F.lit(", has share "), (size + 0.5).cast("string"))
+    name = F.concat(F.lit(f"{q}p;"), k, F.lit(f"\\{q}x\\\\{q}"))
+    if gaps:
+        share, name = F.when(size % 6 == 0, "").otherwise(share), F.when(size % 11 == 0, f"{q} {q}").otherwise(name)
     lines = F.concat(
-        F.lit("  # part "), k, F.lit(f"; not {q}here\ninsert $q isa question, has question_id {q}p;"), k, F.lit(f"\\{q}x\\\\{q},\n    has display_order "), F.col("p_size").cast("string"), F.lit(", has share "), (F.col("p_size") + 0.5).cast("string"), F.lit(", has shown "), (F.col("p_size") > 25).cast("string"), F.lit(";\n"),
+        F.lit("  # part "), k, F.lit(f"; not {q}here\ninsert $q isa question, has question_id "), name, F.lit(",\n    has display_order "), size.cast("string"), share, F.lit(", has shown "), (size > 25).cast("string"), F.lit(";\n"),
     )
     listed = F.array_sort(F.collect_list(F.struct("p_partkey", lines.alias("x"))))
     return g.table("part").groupBy(F.col("p_type").alias("file")).agg(F.array_join(F.transform(listed, lambda s: s["x"]), "").alias("text"))
@@ -47,6 +54,22 @@ def statement_attributes(g: Graph) -> DataFrame:
     return S.statement_spans(scripts(g), "file").select("file", "line", F.inline(S.attributes_of(F.col("text"))))
 
 
+_REQUIRED = ("question_id", "display_order", "share", "shown")
+
+
+@query(
+    "val03_missing_attributes",
+    """WITH n AS (SELECT p_type AS file, 3 * row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS line, p_size FROM part)
+    SELECT file, line, 'share' AS attr FROM n WHERE p_size % 6 = 0 UNION ALL SELECT file, line, 'question_id' FROM n WHERE p_size % 11 = 0""",
+)
+def missing_attributes(g: Graph) -> DataFrame:
+    """Required attributes that a statement of the seed scripts lacks or leaves blank, with the statement's line."""
+    has = lambda a: F.exists("held", lambda x: (x["attr"] == a) & (F.trim(x["value"]) != ""))
+    held = S.statement_spans(scripts(g, gaps=True), "file").select("file", "line", S.attributes_of(F.col("text")).alias("held"))
+    wrong = F.filter(F.array(*[F.when(~has(a), F.lit(a)) for a in _REQUIRED]), lambda x: x.isNotNull())
+    return held.select("file", "line", F.explode(wrong).alias("attr"))
+
+
 def payloads(g: Graph) -> DataFrame:
     """(event_id, payload): objects of mixed fields, some of them cut off."""
     n, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
