@@ -128,8 +128,13 @@ class Items:
         self.keys, self.rows = keys.ravel()[order], order // walks
 
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the item-sized windows of a document that hold a run of an item of that size."""
-        found = []
+        """(start, size) of the item-sized windows of a document that may hold an item of that size.
+
+        An item of W words has W - q + 1 runs of q words, and an edit spoils q of them. So a
+        window within k edits holds W + 1 - q (k + 1) different runs at least, none of them
+        more than k words away from its place; hits that are too few for that are passed over.
+        """
+        found, scale = [], self.longest + 1
         for length, (keys, rows, offsets) in self.runs.items():
             if len(words) < length:
                 continue
@@ -139,14 +144,38 @@ class Items:
             hit = np.flatnonzero(hi > lo)
             n = (hi - lo)[hit]
             entry = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            base, size, reach = np.repeat(hit, n) - offsets[entry], self.sizes[rows[entry]], self.limits[rows[entry]]
+            base, row = np.repeat(hit, n) - offsets[entry], rows[entry]
+            some = self._enough(row, base, offsets[entry], length)
+            base, size, reach = base[some], self.sizes[row[some]], self.limits[row[some]]
             span = 2 * reach + 1
             start = np.repeat(base - reach - np.cumsum(span) + span, span) + np.arange(int(span.sum()))
             size = np.repeat(size, span)
             ok = (start >= 0) & (start + size <= len(words))
-            found.append(np.unique(start[ok] << 20 | size[ok]))
+            found.append(np.unique(start[ok] * scale + size[ok]))
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return both >> 20, both & 0xFFFFF
+        return both // scale, both % scale
+
+    def _enough(self, row: np.ndarray, base: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+        """Places of the hits that have enough different runs of their item near their base.
+
+        Bases are dealt into cells of 2k + 1; those that go with one window lie in two neighbouring cells.
+        """
+        if not len(row):
+            return np.zeros(0, np.int64)
+        cell = base // (2 * self.limits[row] + 1)
+        order = np.lexsort((offset, cell, row))
+        r, c, o = row[order], cell[order], offset[order]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
+        first = np.flatnonzero(new)
+        different = np.add.reduceat((new | np.concatenate([[True], o[1:] != o[:-1]])).astype(np.int64), first)
+        fr, fc = r[first], c[first]
+        joined = (fr[1:] == fr[:-1]) & (fc[1:] == fc[:-1] + 1)
+        beside = np.zeros(len(first), np.int64)
+        beside[1:] = np.where(joined, different[:-1], 0)
+        beside[:-1] = np.maximum(beside[:-1], np.where(joined, different[1:], 0))
+        needed = self.sizes[fr] + 1 - length * (self.limits[fr] + 1)
+        good = different + beside >= needed
+        return np.sort(order[np.repeat(good, np.diff(np.append(first, len(r))))])
 
     def matches(self, words: np.ndarray, raw: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(item row, start, words, edits) of a document's best window for each item it holds."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,7 +49,8 @@ POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|main|pag
 START = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "body": 0.0}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']+|[\"'])*?)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other: its whole name, then its value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def commas(text: str) -> int:
@@ -69,7 +70,9 @@ def _judge(name: str, attributes: str, inside_article: bool) -> tuple[float, boo
     """Starting points of an element, and whether it is taken out."""
     points, dropped = START.get(name, 0.0), name in DROPPED or (name == "header" and not inside_article)
     if attributes and not dropped:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(attributes):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         names = f"{found.get('class', '')} {found.get('id', '')}"
         if name not in ("html", "body", "article", "main") and (STRONG if inside_article else NEGATIVE).search(names):
             dropped = True
@@ -85,14 +88,20 @@ def _judge(name: str, attributes: str, inside_article: bool) -> tuple[float, boo
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed and crossing tags are closed as browsers do in the common cases.
 
-    ``opened`` counts the open elements by name, so that the stack is searched only for what is in it.
+    ``places`` has the heights on the stack of the open elements of each name, ``barriers``
+    those of elements that a crossing tag doesn't reach through, so no tag searches the stack.
     """
     root = Node("html", None)
-    stack, at, end, opened = [root], 0, len(page), Counter()
+    stack, at, end = [root], 0, len(page)
+    places: dict[str, list[int]] = defaultdict(list)
+    barriers = [0]
 
     def close(i: int) -> None:
-        opened.subtract(n.name for n in stack[i:])
+        for n in stack[i:]:
+            places[n.name].pop()
         del stack[i:]
+        while barriers[-1] >= i:
+            barriers.pop()
 
     while at < end:
         m = _TAG.search(page, at)
@@ -106,25 +115,16 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if opened[name]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        close(i)
-                        break
-                    if name not in BLOCKS and stack[i].name in BARRIERS:
-                        break
+            if places[name] and (name in BLOCKS or places[name][-1] >= barriers[-1]):
+                close(places[name][-1])
             continue
-        if name in ("html", "body") and opened[name]:
+        if name in ("html", "body") and places[name]:
             continue
         closes = IMPLIED.get(name, frozenset()) | ({"p"} if name in ENDS_P else frozenset())
-        if any(opened[c] for c in closes):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in closes:
-                    close(i)
-                    break
-                if stack[i].name in BARRIERS:
-                    break
-        node = Node(name, stack[-1], *_judge(name, m[3] or "", opened["article"] + opened["main"] > 0))
+        height = max((places[c][-1] for c in closes if places[c]), default=0)
+        if height > barriers[-1]:
+            close(height)
+        node = Node(name, stack[-1], *_judge(name, m[3] or "", bool(places["article"] or places["main"])))
         stack[-1].children.append(node)
         if name in RAW:
             end_tag = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
@@ -132,8 +132,10 @@ def parse(page: str) -> Node:
             if not node.dropped:
                 node.children.append(html.unescape(raw))
         elif name not in VOID and not (m[3] or "").rstrip().endswith("/"):
+            places[name].append(len(stack))
+            if name in BARRIERS:
+                barriers.append(len(stack))
             stack.append(node)
-            opened[name] += 1
     return root
 
 

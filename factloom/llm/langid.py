@@ -34,9 +34,13 @@ BLANK = np.int64(0x20)
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes (21 bits a letter) of a text and how often each occurs."""
-    kept, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(text), PIECE):
-        c = np.frombuffer(f" {text[at : at + PIECE].lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    kept, counts, at, end = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+    while end < len(text):
+        # Long texts go in pieces that end before a character that is no letter, so no word is cut.
+        at, end = end, min(len(text), end + PIECE)
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        c = np.frombuffer(f" {text[at:end].lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         letter = _LETTER[c]
         if not letter.any():
             continue

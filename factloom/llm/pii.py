@@ -106,11 +106,13 @@ def finds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def listed(k: str) -> Column:
         gap = lambda i: F.col(f"{k}_gaps")[i]
 
+        plain = lambda c: F.regexp_replace(c, r"\s+", " ")
+
         def near(i: Column) -> Column:
-            # Whole words: the last and the first pieces between blanks, each of one word or more.
+            # The last and the first words, whatever white space stands between them.
             left, right = F.when(i == 0, "^").otherwise("#"), F.when(i + 1 == F.size(k), "$").otherwise("#")
-            before = F.concat(F.array(left, left), _words(F.substring_index(gap(i), " ", -4)))
-            after = F.concat(_words(F.substring_index(gap(i + 1), " ", 4)), F.array(right, right))
+            before = F.concat(F.array(left, left), _words(F.substring_index(plain(gap(i)), " ", -4)))
+            after = F.concat(_words(F.substring_index(plain(gap(i + 1)), " ", 4)), F.array(right, right))
             return patterns_of(F.slice(before, -2, 2), F.slice(after, 1, 2))
 
         wanted = lambda m: (F.length(_digits(m)) >= 4) | F.contains(m, F.lit("@"))
