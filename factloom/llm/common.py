@@ -11,6 +11,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MEMORY: dict[str, dict] = {}
+
+
+def memory(name: str) -> dict:
+    """What a Python worker remembers for one operator; what it held for others is given up, since workers live on from stage to stage."""
+    for other in [k for k in _MEMORY if k != name]:
+        del _MEMORY[other]
+    return _MEMORY.setdefault(name, {})
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import memory
+
 PROFILE, DOCUMENT = 400, 300
 PER_LANGUAGE = 2000
 PIECE = 1 << 20
@@ -107,6 +109,7 @@ def labelled(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
         return best[1], max(0.0, 1 - best[0] / len(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("langid")
         for batch in batches:
             found = [one(t.as_py()) for t in batch.column(text_col)]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

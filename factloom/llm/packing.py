@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import cut_lineage
+from .common import cut_lineage, memory
 
 CAPACITY, END = 4096, 1
 #: Words held in each of two generations; longer ones are not held.
@@ -113,13 +113,12 @@ class WordIds:
         return [b"".join([held[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    """The worker's coder for a vocabulary file."""
+    held = memory("packing")
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:

@@ -27,6 +27,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memory
+
 SPACE = "▁"
 #: Words held in each of two generations; runs longer than SHORT are not held.
 KEEP_WORDS = 400_000
@@ -148,13 +150,12 @@ class PieceCoder:
             pass
 
 
-_CODERS: dict[str, PieceCoder] = {}
-
-
 def coder(path: str) -> PieceCoder:
-    if path not in _CODERS:
-        _CODERS[path] = PieceCoder(path)
-    return _CODERS[path]
+    """The worker's coder for a model file."""
+    held = memory("piece_bpe")
+    if path not in held:
+        held[path] = PieceCoder(path)
+    return held[path]
 
 
 def _over(docs: DataFrame, path: str, id_col: str, text_col: str, verify: bool, one, schema: str) -> DataFrame:

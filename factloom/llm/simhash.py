@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, memory
 from .hashing import LENGTH, U, mix
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -219,6 +219,7 @@ def long_fingerprints(texts: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
     """(node, n, a, b, c, d) for every (node, text): the number of shingles and the fingerprint's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("simhash")
         for batch in batches:
             sets = (shingles(t.as_py() or "", words) for t in batch.column(1))
             rows = np.array([(len(s), *long_fingerprint(s).view(np.int64).tolist()) for s in sets], np.int64).reshape(-1, 5)
