@@ -14,8 +14,8 @@ def insert_rows(g: Graph) -> DataFrame:
     """Two inserts into one table, published together: rows are added, none is replaced."""
     deals = io.table(g.spark, "deals")
     folder = deals.fresh()
-    g.table("nation").select(F.col("n_nationkey").cast("long").alias("deal_id"), F.col("n_name").alias("deal_name")).write.parquet(folder)
-    g.table("region").select((F.col("r_regionkey") + 1000).cast("long").alias("deal_id"), F.col("r_name").alias("deal_name")).write.mode("append").parquet(folder)
+    io.append_rows(g.table("nation").select(F.col("n_nationkey").cast("long").alias("deal_id"), F.col("n_name").alias("deal_name")), folder)
+    io.append_rows(g.table("region").select((F.col("r_regionkey") + 1000).cast("long").alias("deal_id"), F.col("r_name").alias("deal_name")), folder)
     deals.publish(folder)
     return g.spark.read.parquet(folder)
 
@@ -69,8 +69,8 @@ def three_formats(g: Graph) -> DataFrame:
     """One result in three formats, published together, each read back as the same rows."""
     results = io.table(g.spark, "results")
     folder, rows = results.fresh(), g.table("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    rows.write.option("ignoreNullFields", "false").json(f"{folder}/json")
-    rows.write.parquet(f"{folder}/table")
+    io.save_json(rows, f"{folder}/json")
+    io.append_rows(rows, f"{folder}/table")
     rows.select(F.concat_ws(": ", F.col("id").cast("string"), "name").alias("value")).write.text(f"{folder}/text")
     results.publish(folder)
     text = g.spark.read.text(f"{folder}/text").select(F.substring_index("value", ": ", 1).cast("long").alias("id"), F.regexp_extract("value", r"(?s)^\d+: (.*)$", 1).alias("name"))

@@ -1,6 +1,8 @@
-"""Readers of side tables: JSON rows, listings of files by name.
+"""Writers and readers of side tables: rows added, JSON rows, listings of files by name.
 
-All of them go through Spark's own readers, so any store that Spark knows will do.
+All of them go through Spark's own readers and writers, so any store that Spark
+knows will do. A null or empty table writes an empty folder of its schema. Tables that
+others read meanwhile are written to a fresh folder and published (``snapshots``).
 """
 
 from __future__ import annotations
@@ -15,6 +17,16 @@ def table(spark: SparkSession, name: str) -> Snapshots:
     return Snapshots(spark, root_of(spark, name))
 
 
+def append_rows(df: DataFrame, path: str, fresh: bool = False) -> None:
+    """Rows added to a Parquet folder (``fresh`` starts it anew)."""
+    df.write.mode("overwrite" if fresh else "append").parquet(path)
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """One JSON document a row; an older state of the folder goes."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON table; lines that are no JSON give nulls instead of an error."""
     return spark.read.schema(schema).json(path)
@@ -23,10 +35,11 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def newest(spark: SparkSession, path: str, limit: int = 20, prefix: str = "") -> DataFrame:
     """(place, name, files, bytes) of the newest results below a folder, whose names hold their time; from the files' metadata, contents are not read.
 
-    A result is a partition ``name=...``; the last names come first.
+    A result is a partition ``name=...``, or a file of its own; the last names come first.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    named = files.withColumn("name", F.regexp_extract("path", "/name=([^/]+)/", 1)).filter(F.startswith("name", F.lit(prefix)) & (F.col("name") != ""))
+    own = F.coalesce(F.nullif(F.regexp_extract("path", "/name=([^/]+)/", 1), F.lit("")), F.substring_index("path", "/", -1))
+    named = files.withColumn("name", own).filter(F.startswith("name", F.lit(prefix)))
     top = named.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("name")).limit(limit)
     # At most ``limit`` rows are numbered.
     return top.agg(F.sort_array(F.collect_list(F.struct("name", "files", "bytes")), asc=False).alias("all")).select(F.posexplode("all").alias("place", "x")).select((F.col("place") + 1).alias("place"), "x.name", "x.files", "x.bytes")
