@@ -17,14 +17,17 @@ away, so each is filed under its 65 neighbours and tied to the least member ther
 
 ``similar_classes`` links texts by the Jaccard similarity of their five-word shingles
 instead. A similarity of 0.8 leaves about a seventh of the bits different, so it takes a
-longer fingerprint: 11 segments of 23 bits, of which two that decode to a common
-codeword index make a candidate. At the similarity 0.8 a segment has such an index with
-about 0.60, two of eleven with 0.999; more than ``FAR`` of 256 bits differ once in 700 such pairs. Candidates are
-verified by their whole shingle sets. First every text is compared with a few leaders of its
-groups (texts under one index of one segment), which ties crowds of near copies without
-pairs; then all candidates between different classes are verified, however large a group is:
-large groups are dealt into blocks, and a task compares two blocks and gives only the links
-that join classes.
+longer fingerprint: 11 segments of 23 bits, each decoded to its codeword indices. A text is
+filed under each index together with its least shingle in the segment's own order. Two texts
+are candidates if they meet in such a group and share an index of another segment too.
+At the similarity 0.8 a segment has a common index with about 0.60 and the least shingle is
+the same with 0.8: a pair is missed once in 700. More than ``FAR`` of 256 bits differ
+once in 700 such pairs. A group holds texts with a shingle in common, so it grows with the
+copies of that shingle, not with the corpus: a text has about 58 rows, however many texts there are.
+Candidates are verified by their whole shingle sets. First every text is compared with a few
+leaders of the texts under its indices, which ties crowds of near copies without pairs; then all
+candidates between different classes are verified, however large a group is: large groups are
+dealt into blocks, and a task compares two blocks and gives only the links that join classes.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other. Repeated rows stay as rows of one
@@ -58,6 +61,10 @@ SLOTS, AT_ONCE = 1 << 24, 1 << 21
 #: Rows and shingle hashes of a group's block (on average), which bound what a task holds.
 BLOCK_ROWS, BLOCK_HASHES = 2048, 1 << 21
 STRETCH = np.arange(1, 5, dtype=U) * LENGTH
+#: Odd factors, by which each segment has its own order of the shingle hashes.
+ORDERS = mix(np.arange(101, 101 + PARTS, dtype=U)) | U(1)
+#: Texts of a group whose pairs are looked at one by one, rows of a table that is sent to all tasks.
+FEW, SENT = 64, 1 << 17
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0xAE3
 #: (shift, width) of the segments.
@@ -215,17 +222,32 @@ def part_indices(fp: np.ndarray) -> np.ndarray:
     return own.astype(np.int64) | (np.arange(PARTS) << 12)[None, :, None]
 
 
+def least(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set of shingle hashes in the order of each segment."""
+    out = np.full(PARTS, ~U(0))
+    for at in range(0, len(hashes), 1 << 14):
+        out = np.minimum(out, (hashes[at : at + (1 << 14)].view(U)[:, None] * ORDERS).min(0))
+    return out
+
+
+def group_keys(fp: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(n, PARTS, 6) groups: a codeword index of a segment under the least shingle in its order, the segment's number in the low four bits."""
+    keys = mix(part_indices(fp).astype(U) * LENGTH + low[:, :, None])
+    return (keys & ~U(15) | np.arange(PARTS, dtype=U)[None, :, None]).view(np.int64)
+
+
 def long_fingerprints(texts: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
-    """(node, n, a, b, c, d) for every (node, text): the number of shingles and the fingerprint's words."""
+    """(node, n, a, b, c, d, least) for every (node, text): the number of shingles, the fingerprint's words, the least shingle in each segment's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory("simhash")
         for batch in batches:
             sets = (shingles(t.as_py() or "", words) for t in batch.column(1))
-            rows = np.array([(len(s), *long_fingerprint(s).view(np.int64).tolist()) for s in sets], np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T)], ["node", "n", "a", "b", "c", "d"])
+            rows = np.array([(len(s), *long_fingerprint(s).view(np.int64).tolist(), *least(s).view(np.int64).tolist()) for s in sets], np.int64).reshape(-1, 5 + PARTS)
+            low = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * PARTS, pa.int32()), pa.array(rows[:, 5:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows[:, :5].T), low], ["node", "n", "a", "b", "c", "d", "least"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, a long, b long, c long, d long")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, a long, b long, c long, d long, least array<long>")
 
 
 def leader_pairs(prints: DataFrame, similarity: float) -> DataFrame:
@@ -267,20 +289,32 @@ def leader_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     return prints.select("node", "n", "a", "b", "c", "d").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (i << 32 | j) of a group's texts in different classes, which share an index of a later segment and are near.
+def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, part: int, similarity: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (i << 32 | j) of a group's texts in different classes, which share an index of a segment besides ``part`` and are near.
 
-    ``group`` is the segment's number over the index in it; pairs with an earlier group in common are left to that.
-    With ``side``, only pairs of different sides.
+    With ``side``, rows of sides 0 and 1 pair with the other side only.
     """
-    part = group >> 12
     m, out = len(comp), [np.zeros(0, np.int64)]
     if m < 2 or (comp == comp[0]).all():
         return out[0]
     own = part_indices(fp)
-    later = own[:, part + 1 :].reshape(m, -1)
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        like = (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9) & (comp[i] != comp[j])
+        if side is not None:
+            like &= (side[i] != side[j]) | (side[i] < 0)
+        i, j = i[like], j[like]
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= FAR
+        return i[near], j[near]
+
+    if m <= FEW:
+        i, j = kept(*np.triu_indices(m, 1))
+        shared = (own[i][:, :, :, None] == own[j][:, :, None, :]).any((2, 3))
+        shared[:, part] = False
+        return (i << 32 | j)[shared.any(1)]
+    others = np.delete(own, part, axis=1).reshape(m, -1)
     by_comp = comp.argsort(kind="stable")
-    entries = np.unique(later * m + by_comp.argsort()[:, None])
+    entries = np.unique(others * m + by_comp.argsort()[:, None])
     key, who = entries // m, by_comp[entries % m]
     # Within an index the texts lie by class: each meets those of the classes after its own.
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -293,61 +327,72 @@ def cross_pairs(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, group: int, sim
         c = count[lo:hi]
         i = np.repeat(who[lo:hi], c)
         j = who[np.repeat(first[lo:hi], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)]
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        like = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-9
-        if side is not None:
-            like &= side[i] != side[j]
-        i, j = i[like], j[like]
-        near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= FAR
-        pairs = np.unique(i[near] << 32 | j[near])
-        for s in range(part + 1):
-            x, y = own[pairs >> 32, s], own[pairs & 0xFFFFFFFF, s]
-            before = x if s < part else np.where(x < group, x, -1)
-            pairs = pairs[~(before[:, :, None] == y[:, None, :]).any((1, 2))]
-        out.append(pairs)
+        i, j = kept(np.minimum(i, j), np.maximum(i, j))
+        out.append(np.unique(i << 32 | j))
     return np.unique(np.concatenate(out))
 
 
-def tiled(keyed: DataFrame, weight: Column) -> DataFrame:
-    """``keyed`` (g, node, ...) with a tile ``k`` in front and ``side``. A group of more than ``BLOCK_ROWS`` rows or
-    ``BLOCK_HASHES`` of ``weight`` is dealt into blocks, and each two blocks (or one with itself) are a tile of their own."""
-    over = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(weight) / BLOCK_HASHES)
-    # A row a group at most, of (PARTS - 1) * 4096.
-    large = keyed.groupBy("g").agg(F.ceil(over).alias("blocks")).filter("blocks > 1")
-    dealt = keyed.join(F.broadcast(large), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def tiled(keyed: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``keyed`` (g, node, comp, ...) with a tile ``k`` in front and ``side``. A group of more than ``BLOCK_ROWS`` rows or
+    ``BLOCK_HASHES`` of ``weight`` is dealt into blocks, and each two blocks (or one with itself) are a tile of their own;
+    one whose texts are all of one class has nothing to link and goes. A tile keeps its group's segment in the low four bits."""
+    over = F.count(F.lit(1)) / BLOCK_ROWS
+    over = over if weight is None else F.greatest(over, F.sum(weight) / BLOCK_HASHES)
+    sizes = keyed.groupBy("g").agg(F.ceil(over).alias("blocks"), (F.min("comp") < F.max("comp")).alias("mixed")).filter("blocks > 1")
+    large = cut_lineage(sizes.select("g", F.when(F.col("mixed"), F.col("blocks")).otherwise(0).alias("blocks")))
+    # A row for each crowded group: sent to the tasks while they are few, joined by shuffle otherwise.
+    dealt = keyed.join(F.broadcast(large) if large.count() <= SENT else large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).filter("blocks > 0")
     met = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tile = F.col("g") + F.least("own", "other") * (1 << 16) + F.greatest("own", "other") * (1 << 39)
-    rows = met.select(tile.alias("k"), (F.col("own") > F.col("other")).cast("long").alias("side"), *[c for c in keyed.columns if c != "g"])
+    of_two = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(-16)).bitwiseOR(F.col("g").bitwiseAND(F.lit(15)))
+    tile = F.when(F.col("blocks") > 1, of_two).otherwise(F.col("g"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
+    rows = met.select(tile.alias("k"), side.alias("side"), *[c for c in keyed.columns if c != "g"])
     return rows.repartition("k").sortWithinPartitions("k")
 
 
-def each_tile(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
-    """``solve(numbers, lists)`` for the rows of each tile, which follow each other: nine columns of numbers and, if there is one, the lists of the tenth."""
+def each_tile(batches: Iterator[pa.RecordBatch], solve, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns ``names`` of ``solve(numbers, lists)`` for the rows of each tile, which follow each other: nine columns of numbers
+    and, if there is one, the lists of the tenth. Tiles with texts of one class only are passed over."""
     held: list[tuple[np.ndarray, pa.Array | None]] = []
+    found: list[np.ndarray] = []
+
+    def done() -> None:
+        if held:
+            lists = None if held[0][1] is None else pa.concat_arrays([x for _, x in held])
+            found.append(solve(np.concatenate([x for x, _ in held], axis=1), lists))
+            held.clear()
 
-    def done() -> pa.RecordBatch:
-        lists = None if held[0][1] is None else pa.concat_arrays([x for _, x in held])
-        return solve(np.concatenate([x for x, _ in held], axis=1), lists)
+    def out() -> pa.RecordBatch:
+        rows = np.concatenate([np.zeros((len(names), 0), np.int64), *found], axis=1)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.stack([c.to_numpy() for c in batch.columns[:9]])
-        cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[0][0][0, 0] != rows[0, lo]:
-                yield done()
-                held = []
+        start = np.append(0, np.flatnonzero(np.diff(rows[0])) + 1)
+        end = np.append(start[1:], batch.num_rows)
+        if held and held[0][0][0, 0] != rows[0, 0]:
+            done()
+        mixed = np.minimum.reduceat(rows[3], start) < np.maximum.reduceat(rows[3], start)
+        # The last tile may go on in the next batch; the first may have begun in the one before.
+        mixed[-1] = True
+        mixed[0] |= bool(held)
+        for at in np.flatnonzero(mixed).tolist():
+            lo, hi = int(start[at]), int(end[at])
+            if at:
+                done()
             held.append((rows[:, lo:hi], batch.column(9).slice(lo, hi - lo) if batch.num_columns > 9 else None))
-    if held:
-        yield done()
+        yield out()
+    done()
+    yield out()
 
 
 def tile_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
     """The candidates of a tile (k, side, node, comp, n, a to d), as in ``cross_pairs``."""
-    k = int(rows[0, 0])
-    side = rows[1] if k >> 16 & (1 << 23) - 1 != k >> 39 else None
-    return cross_pairs(rows[3], rows[4], np.ascontiguousarray(rows[5:].T).view(U), k & 0xFFFF, similarity, side)
+    side = rows[1] if (rows[1] >= 0).any() else None
+    return cross_pairs(rows[3], rows[4], np.ascontiguousarray(rows[5:].T).view(U), int(rows[0, 0]) & 15, similarity, side)
 
 
 def ties(pairs: np.ndarray, comp: np.ndarray, lists: pa.Array, similarity: float) -> list[tuple[int, int]]:
@@ -377,41 +422,43 @@ def ties(pairs: np.ndarray, comp: np.ndarray, lists: pa.Array, similarity: float
 
 
 def candidate_members(prints: DataFrame, similarity: float) -> DataFrame:
-    """(g, node): the texts of ``prints`` (node, comp, n, a to d) with a candidate of another class in group g."""
+    """(g, node): the texts of ``prints`` (node, comp, n, a to d, least) with a candidate of another class in tile g."""
     names = ["g", "node", "comp", "n", "a", "b", "c", "d"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                rows = np.stack([c.to_numpy() for c in batch.slice(at, 5000).columns])
-                g = part_indices(np.ascontiguousarray(rows[3:].T).view(U))[:, :-1].reshape(rows.shape[1], -1)
-                each = np.unique(g + (np.arange(rows.shape[1]) << 32)[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(each & 0xFFFFFFFF), *map(pa.array, rows[:, each >> 32])], names)
-
-    def solve(rows: np.ndarray, _: None) -> pa.RecordBatch:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                rows = np.stack([c.to_numpy() for c in part.columns[:7]])
+                low = part.column(7).flatten().to_numpy().reshape(-1, PARTS).view(U)
+                g = np.sort(group_keys(np.ascontiguousarray(rows[3:].T).view(U), low).reshape(rows.shape[1], -1), axis=1)
+                i, at_key = np.nonzero(np.append(np.ones((len(g), 1), bool), g[:, 1:] != g[:, :-1], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(g[i, at_key]), *map(pa.array, rows[:, i])], names)
+
+    def solve(rows: np.ndarray, _: None) -> np.ndarray:
         pairs = tile_pairs(rows, similarity)
         found = rows[2, np.unique(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF]))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows[0, 0] & 0xFFFF)), pa.array(found)], ["g", "node"])
+        return np.stack([np.full(len(found), rows[0, 0]), found])
 
-    keyed = prints.select(*names[1:]).mapInArrow(spread, "g long, node long, comp long, n long, a long, b long, c long, d long")
-    return tiled(keyed, F.lit(0)).mapInArrow(lambda batches: each_tile(batches, solve), "g long, node long").distinct()
+    keyed = prints.select(*names[1:], "least").mapInArrow(spread, "g long, node long, comp long, n long, a long, b long, c long, d long")
+    return tiled(keyed).mapInArrow(lambda batches: each_tile(batches, solve, ["g", "node"]), "g long, node long").distinct()
 
 
 def candidate_links(prints: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b): links whose classes, with those of ``comp``, are the classes of all candidates of ``prints`` as similar by their whole shingle sets.
 
-    The sets go to the groups where a text has a candidate and are compared there, so there is no row for a pair:
+    The sets go to the tiles where a text has a candidate and are compared there, so there is no row for a pair:
     a tile gives fewer links than it has texts, however many of its pairs are candidates or similar.
     """
     members = cut_lineage(candidate_members(prints, similarity))
     sets = shingle_sets(members.select("node").distinct(), texts, words)
 
-    def solve(rows: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+    def solve(rows: np.ndarray, lists: pa.Array) -> np.ndarray:
         found = np.array(ties(tile_pairs(rows, similarity), rows[3], lists, similarity), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(rows[2, found.min(1)]), pa.array(rows[2, found.max(1)])], ["a", "b"])
+        return np.stack([rows[2, found.min(1)], rows[2, found.max(1)]])
 
     known = members.join(prints.select("node", "comp", "n", "a", "b", "c", "d"), "node").select("g", "node", "comp", "n", "a", "b", "c", "d").join(sets, "node")
-    return tiled(known, F.col("n")).mapInArrow(lambda batches: each_tile(batches, solve), "a long, b long").distinct()
+    return tiled(known, F.col("n")).mapInArrow(lambda batches: each_tile(batches, solve, ["a", "b"]), "a long, b long").distinct()
 
 
 def shingle_sets(met: DataFrame, texts: DataFrame, words: int = LIKE_WORDS) -> DataFrame:

@@ -63,35 +63,63 @@ def test_near_copies_in_crowds(spark):
 
 
 def test_candidates_of_a_group_by_all_pairs():
-    """The pairs between classes that share an index in a later segment, and no others."""
+    """The pairs between classes that share an index in another segment, and no others, in small and large groups and between two sides."""
     import numpy as np
 
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (3, 4)).astype(np.uint64)
     fp = np.repeat(base, 40, axis=0) ^ np.packbits(rng.random((120, 256)) < 0.08, axis=1, bitorder="little").view("<u8")
-    comp, n = rng.integers(0, 5, 120), rng.integers(80, 110, 120)
+    comp, n, side = rng.integers(0, 5, 120), rng.integers(80, 110, 120), rng.integers(-1, 2, 120)
     own = [set(row) for row in simhash.part_indices(fp).reshape(120, -1).tolist()]
-    want: dict[int, set] = {}
-    for i in range(120):
-        for j in range(i + 1, 120):
-            shared = sorted(own[i] & own[j])
-            near = sum(int(x).bit_count() for x in fp[i] ^ fp[j]) <= simhash.FAR
-            if comp[i] != comp[j] and len({x >> 12 for x in shared}) >= 2 and near and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]):
-                want.setdefault(shared[0], set()).add((i, j))  # found in the least of their groups alone
-    for at_once in (simhash.AT_ONCE, 50):
-        simhash.AT_ONCE, before = at_once, simhash.AT_ONCE
-        for group in sorted(set().union(*own)):
-            if group >> 12 == simhash.PARTS - 1:
-                continue
-            some = np.array([k for k in range(120) if group in own[k]])
-            got = simhash.cross_pairs(comp[some], n[some], fp[some], group, 0.8)
-            assert {(int(some[x >> 32]), int(some[x & 0xFFFFFFFF])) for x in got} == want.get(group, set())
-        simhash.AT_ONCE = before
-    assert want
+    found = 0
+    for part in range(simhash.PARTS):
+        want, across = set(), set()
+        for i in range(120):
+            for j in range(i + 1, 120):
+                near = sum(int(x).bit_count() for x in fp[i] ^ fp[j]) <= simhash.FAR
+                if comp[i] != comp[j] and {x >> 12 for x in own[i] & own[j]} - {part} and near and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]):
+                    want.add((i, j))
+                    if side[i] != side[j] or side[i] < 0:
+                        across.add((i, j))
+        for at_once, few in ((simhash.AT_ONCE, simhash.FEW), (50, simhash.FEW), (simhash.AT_ONCE, 1000)):
+            (simhash.AT_ONCE, simhash.FEW), before = (at_once, few), (simhash.AT_ONCE, simhash.FEW)
+            for sides, wanted in ((None, want), (side, across)):
+                got = simhash.cross_pairs(comp, n, fp, part, 0.8, sides)
+                assert {(int(x >> 32), int(x & 0xFFFFFFFF)) for x in got} == wanted
+            simhash.AT_ONCE, simhash.FEW = before
+        found += len(want)
+    assert found
+
+
+def test_tiles_over_batches():
+    """A tile that runs over several batches is solved once, whole; tiles of one class are passed over."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    k = np.sort(rng.integers(0, 40, 600))
+    k[200:420] = k[200]
+    rows = np.zeros((9, 600), np.int64)
+    rows[0], rows[2], rows[3] = k, np.arange(600), rng.integers(0, 2, 600)
+    names = ["k", "side", "node", "comp", "n", "a", "b", "c", "d"]
+    seen = []
+
+    def solve(part, _):
+        seen.append(part[2].tolist())
+        return part[[0, 2]]
+
+    for size in (1, 7, 64, 600):
+        seen.clear()
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, at : at + size]], names) for at in range(0, 600, size))
+        out = pa.Table.from_batches(list(simhash.each_tile(batches, solve, ["k", "node"])))
+        want = [np.flatnonzero(k == v) for v in np.unique(k)]
+        mixed = [g.tolist() for g in want if len(set(rows[3, g].tolist())) > 1]
+        assert [g for g in seen if len(set(rows[3, g].tolist())) > 1] == mixed
+        assert out.num_rows == sum(map(len, seen)) and len({x for g in seen for x in g}) == out.num_rows
 
 
 def test_recall_of_long_fingerprints():
-    """Texts whose shingles are 0.8 to 0.85 similar share the indices of two segments and are near, all but a few in a thousand."""
+    """Texts whose shingles are 0.8 to 0.85 similar meet in a group, share an index of another segment and are near, all but a few in a thousand."""
     import numpy as np
 
     rng = np.random.default_rng(4)
@@ -104,9 +132,12 @@ def test_recall_of_long_fingerprints():
         if not 0.8 <= (n - away) / (n + away) <= 0.85:
             continue
         x, y = (simhash.part_indices(f[None])[0] for f in (a, b))
-        shared = sum(bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+        shared = [bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+        u, v = (simhash.group_keys(f[None], simhash.least(part)[None])[0] for f, part in ((a, h[:n]), (b, h[away:])))
+        met = [bool(set(p) & set(q)) for p, q in zip(u.tolist(), v.tolist(), strict=True)]
+        assert all(s for s, m in zip(shared, met, strict=True) if m)
         total += 1
-        found += shared >= 2 and int(np.bitwise_count(a ^ b).sum()) <= simhash.FAR
+        found += sum(shared) >= 2 and any(met) and int(np.bitwise_count(a ^ b).sum()) <= simhash.FAR
     assert total > 500 and found >= 0.99 * total
 
 
