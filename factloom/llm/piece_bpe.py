@@ -22,6 +22,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -33,10 +34,26 @@ SPACE = "▁"
 #: Words held in each of two generations; runs longer than SHORT are not held.
 KEEP_WORDS = 400_000
 SHORT, NONE = 40, 1 << 30
+#: Characters of texts that are compared with the library at once, unless one text is longer.
+AT_ONCE = 1 << 20
 #: A word with the blanks before it; blanks at the end of a text stand alone.
 _WORD = re.compile(" *[^ ]+| +")
 
 
+def parts(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in parts of up to 100 texts and AT_ONCE characters, or a single longer one."""
+    some: list[str] = []
+    held = 0
+    for text in texts:
+        if some and (len(some) == 100 or held + len(text) > AT_ONCE):
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text)
+    if some:
+        yield some
+
+
 class PieceCoder:
     """Encoder and decoder for one model file."""
 
@@ -52,9 +69,11 @@ class PieceCoder:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces of this vocabulary cross words")
         self.surface = {p: str(i) for p, i in self.ids.items()}
-        # By an id as text: the number, and the bytes it stands for.
-        self.number = {str(i): i for i in self.raw}
-        self.stands = {str(i): b for i, b in self.raw.items()}
+        # The bytes of all ids one after another, where an id's bytes begin, and how many they are.
+        every = [self.raw.get(i, b"") for i in range(len(self.pieces))]
+        self.flat = np.frombuffer(b"".join(every), np.uint8)
+        self.size = np.array([len(b) for b in every], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
@@ -97,8 +116,8 @@ class PieceCoder:
                 heapq.heappush(agenda, (r, h, symbols[h] + piece))
         return [s for s in symbols if s]
 
-    def word(self, w: str) -> tuple[str, int, bytes]:
-        """Ids of a word as text, their number and the bytes they stand for; the ids are remembered."""
+    def known_ids(self, w: str) -> str:
+        """Ids of a word as text, which are remembered."""
         found = self.older.get(w)
         if found is None:
             symbols = self.merge(w.replace(" ", SPACE))
@@ -110,21 +129,33 @@ class PieceCoder:
             if len(self.known) >= KEEP_WORDS:
                 self.older, self.known = self.known, {}
             self.known[w] = found
+        return found
+
+    def word(self, w: str) -> tuple[str, int, bytes]:
+        """Ids of a word as text, their number and the bytes they stand for."""
+        found = self.known_ids(w)
         ids = found.split(",")
-        return found, len(ids), b"".join(map(self.stands.__getitem__, ids))
+        return found, len(ids), b"".join([self.raw[int(i)] for i in ids])
 
     @staticmethod
     def words(text: str) -> list[str]:
         return _WORD.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def tokens(self, text: str) -> list[str]:
-        """Ids of a text, each as text."""
+    def ids_text(self, text: str) -> str:
+        """Ids of a text in decimal, joined by commas."""
         word = self.word
-        ids = ",".join([self.known.get(w) or word(w)[0] for w in self.words(text)])
-        return ids.split(",") if ids else []
+        return ",".join([self.known.get(w) or word(w)[0] for w in self.words(text)])
 
     def encode(self, text: str) -> list[int]:
-        return [self.number[t] for t in self.tokens(text)]
+        ids = self.ids_text(text)
+        return list(map(int, ids.split(","))) if ids else []
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, one after another, and where each id's bytes end."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)
+        return self.flat[at].tobytes(), end
 
     def decode(self, ids: list[int]) -> str:
         return self._text(b"".join(self.raw.get(i, b"") for i in ids))
@@ -135,15 +166,19 @@ class PieceCoder:
 
     def coded(self, texts: list[str], verify: bool) -> Iterator[tuple[str, int, str]]:
         """Ids as text, their number and the decoded text of each text; with ``verify``, held against the library."""
-        for at in range(0, len(texts), 100):
-            some = texts[at : at + 100]
-            held = self.lib.encode(some, num_threads=1) if verify else [None] * len(some)
-            for text, ids in zip(some, held, strict=True):
-                own = self.tokens(text)
-                decoded = self._text(b"".join(map(self.stands.__getitem__, own)))
-                if verify and (list(map(self.number.__getitem__, own)) != ids or decoded != self.lib.decode(ids)):
-                    raise ValueError(f"differs from the library: {text[:200]!r}")
-                yield ",".join(own), len(own), decoded
+        for some in parts(texts):
+            own = [self.ids_text(t) for t in some]
+            counts = [t.count(",") + 1 if t else 0 for t in own]
+            ids = np.fromstring(",".join(filter(None, own)), np.int32, sep=",") if any(counts) else np.zeros(0, np.int32)
+            raw, end = self.bytes_of(ids)
+            last = np.append(0, end)[np.cumsum([0, *counts])].tolist()
+            decoded = [self._text(raw[i:j]) for i, j in zip(last[:-1], last[1:], strict=True)]
+            if verify:
+                held = self.lib.encode_as_numpy(some, num_threads=1)
+                same = [len(h) for h in held] == counts and np.array_equal(np.concatenate(held), ids)
+                if not same or decoded != [self.lib.decode(h) for h in held]:
+                    raise ValueError(f"differs from the library, in one of {[t[:40] for t in some]!r}")
+            yield from zip(own, counts, decoded, strict=True)
 
     def check(self, texts: list[str]) -> None:
         for _ in self.coded(texts, verify=True):
