@@ -52,6 +52,19 @@ def test_pieces_equal_the_library():
     c.check(odd + texts())
 
 
+def test_words_worked_together_equal_one_agenda_and_the_library(monkeypatch):
+    rnd, c = random.Random(3), piece_bpe.PieceCoder(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(piece_bpe, "KEEP_WORDS", 700)
+    mixed = ["".join(rnd.choice("abcdeth in  ,.\n\t▁éñ漢😀\x00g01") for _ in range(rnd.randrange(120))) for _ in range(1500)]
+    for at in range(0, len(mixed), 100):
+        some = mixed[at : at + 100]
+        assert c.ids_texts(some) == [",".join(map(str, c.lib.encode(t))) for t in some]
+        for w in {w for t in some for w in c.words(t) if len(w) < piece_bpe.SHORT}:
+            symbols = c.merge(piece_bpe.SPACE + w.replace(" ", piece_bpe.SPACE))
+            assert dict(c.merge_many([w]))[w] == ",".join(str(c.ids[s]) if s in c.ids else c.bytes_ids(s) for s in symbols)
+    assert c.older and c.ids_texts([]) == [] and c.ids_texts(["", " "])[0] == ""
+
+
 def test_tokens_of_sections_add_up_and_follow_the_rule():
     encoding, lengths = tokens.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for text in [*texts()[:40], "", "\n\n\n", "a\n\n  b é😀\n", "日本語\n日本"]:
