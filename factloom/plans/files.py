@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files as io
+from ..sources.kept import Kept
 from .model import Graph, query
 
 
@@ -100,3 +103,22 @@ def eval_rows(g: Graph) -> DataFrame:
     """Every saved result with its content; the results of one deal are those of its prefix."""
     rows = g.spark.read.schema("answers long, name string").json(eval_results(g))
     return rows.filter(F.startswith("name", F.lit("eval_"))).select("name", "answers")
+
+
+_CATEGORIES = "SELECT p_brand AS category, count(*) AS questions, min(p_name) AS first_name FROM part GROUP BY 1"
+
+
+@query("rte05_kept_categories", f"SELECT s AS state, category, questions, first_name FROM ({_CATEGORIES}) CROSS JOIN (VALUES ('loaded'), ('young'), ('stale')) v(s)")
+def kept_categories(g: Graph) -> DataFrame:
+    """Routing metadata as it is loaded, read again while it is young, and served stale where its reload fails."""
+
+    def load() -> DataFrame:
+        return g.table("part").groupBy(F.col("p_brand").alias("category")).agg(F.count(F.lit(1)).alias("questions"), F.min("p_name").alias("first_name"))
+
+    def broken() -> DataFrame:
+        raise OSError("the source does not answer")
+
+    table = io.table(g.spark, f"categories-{uuid.uuid4().hex}")
+    states = {"loaded": Kept(table, load, 300), "young": Kept(table, broken, 300), "stale": Kept(table, broken, 0)}
+    each = [kept.read().select(F.lit(state).alias("state"), "category", "questions", "first_name") for state, kept in states.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])

@@ -2,7 +2,8 @@
 
 Data is written to a fresh folder that nothing ever overwrites; a table's state is the
 log of its publications. A publication is one empty marker file whose name holds its time,
-its kind and the folder: a ``replace`` starts the table anew, an ``append`` adds to it.
+its kind and the folder: a ``replace`` starts the table anew, an ``append`` adds to it,
+a ``clear`` (with the folder ``none``) leaves it without rows.
 Markers of different writers never collide, so no publication is lost, and a reader lists
 the log and reads the folders that are live. What a DataFrame reads stays in place until
 ``drop_older`` is asked to remove it.
@@ -54,15 +55,23 @@ class Snapshots:
     def publish(self, folder: str, kind: str = "replace") -> None:
         """Makes a written folder part of the table."""
         make, fs = self._hadoop
-        fs.create(make(f"{self.root}/_log/{time.time_ns():020d}.{kind}.{folder.rsplit('/', 1)[1]}"), False).close()
+        fs.create(make(f"{self.root}/_log/{time.time_ns():020d}.{kind}.{folder.rsplit('/', 1)[-1]}"), False).close()
 
     def live(self) -> list[str]:
         """Folders of the table as it is now: from the last replacement on."""
         out: list[str] = []
         for _, kind, folder in self._log():
-            out = [folder] if kind == "replace" else [*out, folder]
+            out = [] if kind == "clear" else [folder] if kind == "replace" else [*out, folder]
         return [f"{self.root}/data/{f}" for f in out]
 
+    def last(self) -> tuple[int, str] | None:
+        """Time (nanoseconds) and folder of the last publication, unless the table was cleared since."""
+        marker, kind, folder = (self._log() or [("", "clear", "")])[-1]
+        return None if kind == "clear" else (int(marker.split(".")[0]), f"{self.root}/data/{folder}")
+
+    def clear(self) -> None:
+        self.publish("none", "clear")
+
     def write(self, df: DataFrame, kind: str = "replace", form: str = "parquet", partitions: tuple[str, ...] = (), **options: str) -> str:
         """Writes and publishes; gives the folder, whose rows are this publication's own."""
         folder = self.fresh()

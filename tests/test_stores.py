@@ -15,6 +15,7 @@ from factloom.plans import registry
 from factloom.plans.model import Graph
 from factloom.plans.texts import route_scores
 from factloom.sources import files
+from factloom.sources.kept import Kept
 from factloom.sources.snapshots import Snapshots
 
 
@@ -310,3 +311,32 @@ def test_citations_in_page_order(spark):
     assert got == [(1, 1, 2, "S 2"), (1, 2, 3, "S 1"), (1, 3, 3, "S 1"), (1, 4, 9, None), (2, 1, 9, None)]
     shown = spark.createDataFrame([("S", 4), ("S", None), (None, 4), (None, None)], "s string, p int").select(T.cited(F.col("s"), F.col("p")))
     assert [r[0] for r in shown.collect()] == [" [S, p.4]", " [S]", " [p.4]", ""]
+
+
+def test_kept_tables_age_and_serve_stale_rows(spark, tmp_path):
+    table, loads = Snapshots(spark, f"file://{tmp_path}/kept"), []
+
+    def load():
+        loads.append(1)
+        return spark.range(len(loads)).toDF("v")
+
+    def broken():
+        raise OSError("gone")
+
+    count = lambda f, seconds: Kept(table, f, seconds).read().count()
+    with pytest.raises(OSError):
+        count(broken, 300)
+    assert count(load, 300) == 1 and count(load, 300) == 1 and count(broken, None) == 1 and len(loads) == 1
+    assert count(load, 0) == 2 and count(broken, 0) == 2
+    # A load whose plan fails only while it runs serves older rows as well, and publishes nothing.
+    late = lambda: spark.range(3).selectExpr("raise_error('late') AS v")
+    assert count(late, 0) == 2 and count(broken, 300) == 2
+    older = Kept(table, broken, 300).read()
+    Kept(table, load).forget()
+    assert older.count() == 2 and table.live() == []
+    with pytest.raises(OSError):
+        count(broken, None)
+    assert count(load, None) == 3
+    Kept(table, load).forget()
+    assert count(lambda: spark.range(0).toDF("v"), 300) == 0 and count(broken, 300) == 0
+    assert table.drop_older() > 0 and count(broken, 300) == 0
