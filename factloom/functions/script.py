@@ -105,28 +105,57 @@ def defined_terms(docs: DataFrame, terms: list[str] = TERMS) -> DataFrame:
     A definition runs from its line's start (at most 500 characters back) to the next
     quoted definition, else the next blank line, else 4,000 characters on. Terms of one
     stretch of text compete; the one listed first, then the first in the text, wins.
+    Rows are read one by one, so null and repeated ids do no harm, and no text is shuffled.
     """
     any_term = "|".join(rf"\Q{t}\E" for t in terms)
     pattern = rf'(?i)["“](?:{any_term})["”]{MEANS}'
-    text, start = F.col("text"), F.col("start")
-    lens = lambda c: F.transform(c, lambda x: F.length(x))
-    total = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, x: a + x)
+    text, listed = F.col("text"), F.array(*(F.lit(t.lower()) for t in terms))
     cut = docs.filter(text.rlike(pattern)).select("doc_id", "text", F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    cut = cut.withColumn("gl", lens("gaps")).withColumn("hl", lens("hits"))
-    each = cut.select("doc_id", "text", "gl", "hl", F.posexplode("hits").alias("at", "hit"))
-    each = each.select("doc_id", "text", "hit", (total(F.col("gl"), F.col("at") + 1) + total(F.col("hl"), F.col("at"))).alias("start"))
-    said = F.lower(F.regexp_extract("hit", r'^["“]([^"”]*)', 1))
-    ranked = each.withColumn("rank", F.array_position(F.array(*(F.lit(t.lower()) for t in terms)), said))
-    w = Window.partitionBy("doc_id", F.floor(start / BUCKET)).orderBy("rank", "start")
-    best = ranked.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    back = F.substring(text, F.greatest(start - 500, F.lit(0)) + 1, F.least(start, F.lit(500)))
-    lead = F.length(F.substring_index(back, "\n", -1))
-    ahead = F.substring(text, start + 51, F.lit(DEFINITION_LENGTH - 50))
-    following = F.split(ahead, r'\n\s*["“][A-Z][a-zA-Z\s]+["”]\s*(?:means?|shall mean|is defined|has the meaning)', 2)
-    rest = F.when(F.size(following) > 1, following[0]).otherwise(F.substring_index(ahead, "\n\n", 1))
-    definition = F.trim(F.concat(F.substring(text, start - lead + 1, lead + 50), rest))
-    term = F.element_at(F.array(*map(F.lit, terms)), F.col("rank").cast("int"))
-    return best.select("doc_id", term.alias("term"), "start", definition.alias("definition"))
+    gaps = F.slice("gaps", 1, F.size("hits"))
+    starts = F.zip_with(sums_before(F.zip_with(gaps, "hits", lambda g, h: F.length(g) + F.length(h))), gaps, lambda n, g: n + F.length(g))
+    rank = lambda h: F.array_position(listed, F.lower(F.regexp_extract(h, r'^["“]([^"”]*)', 1)))
+    found = F.zip_with(starts, "hits", lambda s, h: F.struct(F.floor(s / BUCKET).alias("bucket"), rank(h).alias("rank"), s.alias("start")))
+    best = _once(F.array_sort(found), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["bucket"] != x["bucket"])))
+
+    def definition(near: Column) -> Column:
+        text, start = near["text"], near["start"]
+        lead = F.length(F.substring_index(F.substring(text, F.greatest(start - 500, F.lit(0)) + 1, F.least(start, F.lit(500))), "\n", -1))
+        ahead = F.substring(text, start + 51, F.lit(DEFINITION_LENGTH - 50))
+        following = F.split(ahead, r'\n\s*["“][A-Z][a-zA-Z\s]+["”]\s*(?:means?|shall mean|is defined|has the meaning)', 2)
+        rest = F.when(F.size(following) > 1, following[0]).otherwise(F.substring_index(ahead, "\n\n", 1))
+        return F.trim(F.concat(F.substring(text, start - lead + 1, lead + 50), rest))
+
+    def around(pieces: Column, start: Column) -> Column:
+        """The piece of a place with the one before and the one after, so that no definition reads the whole text."""
+        first = F.greatest(F.floor(start / DEFINITION_LENGTH).cast("int") - 1, F.lit(0))
+        return F.struct(F.array_join(F.slice(pieces, first + 1, F.lit(3)), "").alias("text"), (start - first * DEFINITION_LENGTH).alias("start"))
+
+    term = lambda x: F.element_at(F.array(*map(F.lit, terms)), x["rank"].cast("int"))
+    row = lambda pieces, x: F.struct(term(x).alias("term"), x["start"].alias("start"), _once(around(pieces, x["start"]), definition).alias("definition"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DEFINITION_LENGTH}}}"), F.lit(0))
+    return cut.select("doc_id", F.inline(_once(pieces, lambda ps: F.transform(best, lambda x: row(ps, x)))))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each entry of an array the sum of those before it. Entries are summed by blocks, so n of them take n ** 1.5 steps."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+
+    def sums(all_: Column) -> Column:
+        n = F.size(all_)
+        size = F.ceil(F.sqrt(n)).cast("int")
+        places = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+        number = lambda i: F.floor(i / size).cast("int")
+        blocks = F.transform(F.filter(places(all_), lambda i: i % size == 0), lambda i: total(F.slice(all_, i + 1, size)))
+        before = lambda found: F.transform(places(found), lambda b: total(F.slice(found, F.lit(1), b)))
+        each = lambda ahead: F.transform(places(all_), lambda i: F.get(ahead, number(i)) + total(F.slice(all_, i - i % size + 1, i % size)))
+        return _once(_once(blocks, before), each)
+
+    return _once(numbers, sums)
 
 
 # Stand for an escaped backslash, quote or semicolon while a text is cut. They are no characters

@@ -110,3 +110,19 @@ def test_relation_config(spark):
     rows = lambda *a, **k: {tuple(r) for r in catalog.relation_config(closure, relates, plays, ["rp", "mfn"], "holds", "bears", *a, **k).collect()}
     assert rows(skip=("infra",)) == expected
     assert rows() == expected | {("infra", 3, "owner", "s", None)}
+
+
+def test_sums_before(spark):
+    rows = [(k, [(7 * i) % 11 for i in range(k)]) for k in (0, 1, 2, 3, 4, 15, 16, 17, 1000)]
+    for r in spark.createDataFrame(rows, "k int, v array<int>").select("v", S.sums_before(F.col("v")).alias("s")).collect():
+        assert r["s"] == [sum(r["v"][:i]) for i in range(len(r["v"]))]
+
+
+def test_defined_terms_of_a_long_text_and_of_rows_alike(spark):
+    line = '😀é\n"IP" means all of it.\n\n' + "words " * 40
+    rows = spark.createDataFrame([(1, line * 400), (1, line), (None, line), (2, None), (3, "")], "doc_id int, text string")
+    got = [tuple(r) for r in S.defined_terms(rows).collect()]
+    long, one = ([tuple(r) for r in brute_terms(t, S.TERMS)] for t in (line * 400, line))
+    assert len(long) == 400 and len(one) == 1
+    assert sorted(r[1:] for r in got if r[0] == 1) == sorted(long + one)
+    assert [r[1:] for r in got if r[0] is None] == one and {r[0] for r in got} == {1, None}
