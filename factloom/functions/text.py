@@ -34,7 +34,7 @@ def holding_words(words: DataFrame, keywords: DataFrame, size: int = 3) -> DataF
     often = indexed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     own = keywords.filter(F.length("keyword") >= size).select("keyword", F.explode(grams(F.col("keyword"), size)).alias("gram")).join(often, "gram", "left")
     rarest = own.groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("keyword", "r.gram")
-    return indexed.join(rarest, "gram").filter(F.contains("word", "keyword")).select("word", "keyword")
+    return indexed.join(rarest.hint("shuffle_hash"), "gram").filter(F.contains("word", "keyword")).select("word", "keyword")
 
 
 def page_marker(n: Column) -> Column:
