@@ -251,4 +251,5 @@ def detect_covenant(g: Graph) -> DataFrame:
     """The covenant that a question was resolved to; both where it was never routed."""
     part = g.table("part").select(F.col("p_partkey").alias("question"))
     asked = part.union(part.select(F.col("question") + 1_000_000))
-    return asked.join(texts.covenant_resolve(g), "question", "left").select("question", F.coalesce("covenant", F.lit("both")).alias("covenant"))
+    # Both sides have a row a question, so neither is sent whole to the tasks.
+    return asked.join(texts.covenant_resolve(g).hint("merge"), "question", "left").select("question", F.coalesce("covenant", F.lit("both")).alias("covenant"))

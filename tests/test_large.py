@@ -24,3 +24,8 @@ def plan_of(df):
 def test_questions_meet_routes_by_text(spark, sf, name):
     plan = plan_of(registry.QUERIES[name](spark, sf))
     assert "BroadcastHashJoin [question" not in plan and "ShuffledHashJoin [low" in plan
+
+
+def test_covenants_are_not_broadcast(spark, sf):
+    plan = plan_of(registry.QUERIES["oth06_detect_covenant"](spark, sf))
+    assert "BroadcastHashJoin [question" not in plan and "SortMergeJoin [question" in plan
