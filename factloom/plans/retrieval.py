@@ -54,10 +54,15 @@ def full_fetch(g: Graph) -> DataFrame:
 PRIMARY, SUPPLEMENTARY = ("Brand#11", "Brand#12", "Brand#13", "Brand#21"), ("Brand#14", "Brand#22", "Brand#31")
 
 
+#: Questions that provisions are asked.
+ASKED = 150
+
+
 def wanted_types(g: Graph) -> DataFrame:
-    """(question, type_name): the concept types of a question's matched categories; ontology-sized."""
+    """(question, type_name): the concept types of the matched categories of a question that is asked; ontology-sized."""
     own = g.table("part").select(F.col("p_name").alias("category"), F.col("p_brand").alias("type_name")).distinct()
-    return texts.matched(g).join(own, "category").select("question", "type_name").distinct()
+    types = texts.text_matches(g).join(own, "category").groupBy("low").agg(F.collect_set("type_name").alias("types"))
+    return texts.by_question(g, types).filter(F.col("question").between(1, ASKED)).select("question", F.explode("types").alias("type_name")).distinct()
 
 
 def retrieval(g: Graph) -> DataFrame:
@@ -67,12 +72,12 @@ def retrieval(g: Graph) -> DataFrame:
     the other provisions of its deal made on the same day; of the question's types, or
     all where it has none of them.
     """
-    asked = g.provisions.filter("ptype = 'di'").select("provision_id", "deal_id", "created", (F.col("provision_id") % 150 + 1).alias("question"))
+    asked = g.provisions.filter("ptype = 'di'").select("provision_id", "deal_id", "created", (F.col("provision_id") % ASKED + 1).alias("question"))
     other = g.provisions.filter("ptype <> 'di'").select(F.col("provision_id").alias("target_id"), "deal_id", "created")
     crossed = asked.join(other, ["deal_id", "created"]).select("provision_id", "question", "target_id")
     reached = asked.select("provision_id", "question", F.col("provision_id").alias("target_id")).unionByName(crossed)
     docs = documents(g).withColumnRenamed("provision_id", "target_id")
-    fetched = reached.join(docs, "target_id").join(wanted_types(g).withColumn("wanted", F.lit(True)), ["question", "type_name"], "left")
+    fetched = reached.join(docs, "target_id").join(F.broadcast(wanted_types(g).withColumn("wanted", F.lit(True))), ["question", "type_name"], "left")
     # The window's shuffle by provision serves the aggregation as well.
     some = F.bool_or(F.coalesce("wanted", F.lit(False))).over(Window.partitionBy("provision_id"))
     kept = fetched.withColumn("some", some).filter(~F.col("some") | F.col("wanted"))

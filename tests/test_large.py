@@ -29,3 +29,9 @@ def test_questions_meet_routes_by_text(spark, sf, name):
 def test_covenants_are_not_broadcast(spark, sf):
     plan = plan_of(registry.QUERIES["oth06_detect_covenant"](spark, sf))
     assert "BroadcastHashJoin [question" not in plan and "SortMergeJoin [question" in plan
+
+
+def test_only_asked_questions_are_routed(spark):
+    wanted = retrieval.wanted_types(Graph(spark, "/root/testdata/sf0.01"))
+    assert wanted.count() == wanted.distinct().count() > 0
+    assert wanted.agg(F.max("question")).first()[0] <= retrieval.ASKED
