@@ -40,6 +40,26 @@ def newest(spark: SparkSession, path: str, limit: int = 20, prefix: str = "") ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     own = F.coalesce(F.nullif(F.regexp_extract("path", "/name=([^/]+)/", 1), F.lit("")), F.substring_index("path", "/", -1))
     named = files.withColumn("name", own).filter(F.startswith("name", F.lit(prefix)))
-    top = named.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("name")).limit(limit)
+    return last_names(named.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")), limit)
+
+
+def save_results(results: DataFrame, table: Snapshots) -> str:
+    """Results (name, ...) saved together, in order of their names; gives the folder.
+
+    Many results share a file: a file each would cost the store a creation and a renaming a
+    result, one after another on the driver.
+    """
+    return table.write(results.repartitionByRange("name").sortWithinPartitions("name"))
+
+
+def newest_saved(spark: SparkSession, folder: str, limit: int = 20, prefix: str = "") -> DataFrame:
+    """(place, name, files) of the newest results that ``save_results`` left; their contents are not read."""
+    saved = spark.read.parquet(folder).select("name", F.col("_metadata.file_path").alias("path")).filter(F.startswith("name", F.lit(prefix)))
+    return last_names(saved.groupBy("name").agg(F.count_distinct("path").alias("files")), limit)
+
+
+def last_names(named: DataFrame, limit: int) -> DataFrame:
+    """(place, name, ...): the ``limit`` last rows by name, numbered from 1."""
+    top = named.orderBy(F.desc("name")).limit(limit)
     # At most ``limit`` rows are numbered.
-    return top.agg(F.sort_array(F.collect_list(F.struct("name", "files", "bytes")), asc=False).alias("all")).select(F.posexplode("all").alias("place", "x")).select((F.col("place") + 1).alias("place"), "x.name", "x.files", "x.bytes")
+    return top.agg(F.sort_array(F.collect_list(F.struct(*named.columns)), asc=False).alias("all")).select(F.posexplode("all").alias("place", "x")).select((F.col("place") + 1).alias("place"), "x.*")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from factloom.plans import registry, retrieval
 from factloom.plans.model import Graph
+from factloom.sources import files
+from factloom.sources.snapshots import Snapshots
 
 
 def plan_of(df):
@@ -35,3 +37,11 @@ def test_only_asked_questions_are_routed(spark):
     wanted = retrieval.wanted_types(Graph(spark, "/root/testdata/sf0.01"))
     assert wanted.count() == wanted.distinct().count() > 0
     assert wanted.agg(F.max("question")).first()[0] <= retrieval.ASKED
+
+
+def test_results_share_files(spark, tmp_path):
+    table = Snapshots(spark, f"file://{tmp_path}/evals")
+    results = spark.range(2000).select(F.format_string("eval_%05d", "id").alias("name"), "id")
+    folder = files.save_results(results, table)
+    read = spark.read.parquet(folder)
+    assert read.count() == 2000 and len(read.inputFiles()) <= 8
