@@ -45,3 +45,11 @@ def test_results_share_files(spark, tmp_path):
     folder = files.save_results(results, table)
     read = spark.read.parquet(folder)
     assert read.count() == 2000 and len(read.inputFiles()) <= 8
+
+
+def test_newest_results_by_name(spark, tmp_path):
+    names = [(f"eval_{i:05d}",) for i in range(50)] + [("other_1",)]
+    folder = files.save_results(spark.createDataFrame(names, "name string"), Snapshots(spark, f"file://{tmp_path}/evals"))
+    got = [tuple(r) for r in files.newest_saved(spark, folder, 3, "eval_").orderBy("place").collect()]
+    assert got == [(1, "eval_00049", 1), (2, "eval_00048", 1), (3, "eval_00047", 1)]
+    assert files.newest_saved(spark, folder, 3, "none").count() == 0
