@@ -99,12 +99,16 @@ def deal_nested(g: Graph) -> DataFrame:
 )
 def graph(g: Graph) -> DataFrame:
     """Nodes and edges of every restricted-payment provision: its baskets, their sources, and the relations between them."""
-    source = F.concat(F.lit("source_"), F.col("suppkey").cast("string"))
-    b = g.baskets
-    nodes = b.select("provision_id", F.col("entity_id").alias("id"), F.lit("basket").alias("kind"), F.col("type_name").alias("label")).union(b.select("provision_id", source, F.lit("source"), "super_type")).distinct()
-    edges = b.select("provision_id", F.concat(F.lit("p_"), F.col("provision_id").cast("string")).alias("a"), F.col("entity_id").alias("b"), F.lit("has_basket").alias("relation")).union(b.select("provision_id", "entity_id", source, F.lit("has_source"))).distinct()
-    rows = nested(g.provisions_of("rp"), "provision_id", {"nodes": nodes, "edges": edges})
-    return rows.select("provision_id", "deal_id", as_json("nodes"), as_json("edges"))
+    # Baskets are shuffled once; nodes and edges are made of a provision's own, as short as they are stored.
+    rows = nested(g.provisions_of("rp"), "provision_id", {"baskets": g.baskets.select("provision_id", "entity_id", "type_name", "super_type", "suppkey")})
+    own = F.concat(F.lit("p_"), F.col("provision_id").cast("string"))
+    source = lambda b: F.concat(F.lit("source_"), b["suppkey"].cast("string"))
+    each = lambda *makers: F.array_sort(F.array_distinct(F.concat(*[F.transform("baskets", m) for m in makers])))
+    node = lambda i, kind, label: F.struct(i.alias("id"), F.lit(kind).alias("kind"), label.alias("label"))
+    edge = lambda a, b, relation: F.struct(a.alias("a"), b.alias("b"), F.lit(relation).alias("relation"))
+    nodes = each(lambda b: node(b["entity_id"], "basket", b["type_name"]), lambda b: node(source(b), "source", b["super_type"]))
+    edges = each(lambda b: edge(own, b["entity_id"], "has_basket"), lambda b: edge(b["entity_id"], source(b), "has_source"))
+    return rows.select("provision_id", "deal_id", nodes.alias("nodes"), edges.alias("edges")).select("provision_id", "deal_id", as_json("nodes"), as_json("edges"))
 
 
 # Clean-up: deals hold provisions, these hold baskets and answers, baskets hold sources.

@@ -53,3 +53,8 @@ def test_newest_results_by_name(spark, tmp_path):
     got = [tuple(r) for r in files.newest_saved(spark, folder, 3, "eval_").orderBy("place").collect()]
     assert got == [(1, "eval_00049", 1), (2, "eval_00048", 1), (3, "eval_00047", 1)]
     assert files.newest_saved(spark, folder, 3, "none").count() == 0
+
+
+def test_graph_shuffles_baskets_once(spark, sf):
+    plan = plan_of(registry.QUERIES["qry14_graph"](spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1
