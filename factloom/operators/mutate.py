@@ -87,15 +87,17 @@ def held_below(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(type, id, step) of the roots and of everything they hold, over any number of hops; steps count from what is deleted first.
 
     ``links`` has holder_type, holder, held_type and held; ``roots`` type and id. The order of
-    the types is read from the links. One join a layer; a layer's ids are written before the
-    next one joins them.
+    the types is read from the links. One join a layer; a layer's new ids are written before the
+    next one joins them, and those of earlier layers are not written again.
     """
     order = layers(links)
     depth = {t: i for i, types in enumerate(order) for t in types}
     doomed = cut(roots.select("type", "id").distinct())
     for types in order[1:]:
         below = links.filter(F.col("held_type").isin(*types)).join(doomed, (F.col("holder_type") == F.col("type")) & (F.col("holder") == F.col("id")), "left_semi")
-        doomed = cut(doomed.union(below.select(F.col("held_type"), F.col("held"))).distinct())
+        # Ids of these types come from this layer and the roots only.
+        listed = doomed.filter(F.col("type").isin(*types))
+        doomed = doomed.union(cut(below.select(F.col("held_type").alias("type"), F.col("held").alias("id")).distinct().join(listed, ["type", "id"], "left_anti")))
     step = F.create_map(*[F.lit(x) for t, i in depth.items() for x in (t, len(order) - i)]) if depth else F.create_map()
     return doomed.withColumn("step", F.coalesce(step[F.col("type")], F.lit(len(order) + 1)) if depth else F.lit(1))
 
@@ -105,8 +107,8 @@ def bottom_up_delete(nodes: DataFrame, links: DataFrame, roots: DataFrame, keep_
     doomed = held_below(links, roots)
     if keep_roots:
         doomed = doomed.join(roots.select("type", "id"), ["type", "id"], "left_anti")
-    gone = doomed.join(nodes.select("type", "id"), ["type", "id"], "left_semi")
-    return nodes.join(gone, ["type", "id"], "left_anti"), gone
+    # Survivors need not know which of the doomed are there, so nodes are made once for them.
+    return nodes.join(doomed, ["type", "id"], "left_anti"), doomed.join(nodes.select("type", "id"), ["type", "id"], "left_semi")
 
 
 def multiset_difference(expected: DataFrame, stored: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -126,7 +126,9 @@ def holdings(g: Graph) -> tuple[DataFrame, DataFrame]:
     link = lambda df, a, x, b, y: df.select(F.lit(a).alias("holder_type"), F.col(x).alias("holder"), F.lit(b).alias("held_type"), F.col(y).alias("held"))
     provisions = g.provisions.select(key("d", "deal_id").alias("d"), key("p", "provision_id").alias("p"))
     given = g.answers.select(key("p", "provision_id").alias("p"), key("a", "answer_id").alias("a"))
-    nodes = node(g.deals.select(key("d", "deal_id").alias("d")), "deal", "d").union(node(provisions, "provision", "p")).union(node(baskets, "basket", "entity_id")).union(node(baskets, "source", "source")).union(node(given, "answer", "a")).distinct()
+    # Both kinds of one basket from one pass.
+    held = baskets.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("type"), F.col(c).alias("id")) for kind, c in (("basket", "entity_id"), ("source", "source"))])))
+    nodes = node(g.deals.select(key("d", "deal_id").alias("d")), "deal", "d").union(node(provisions, "provision", "p")).union(held).union(node(given, "answer", "a")).distinct()
     links = link(provisions, "deal", "d", "provision", "p").union(link(baskets, "provision", "p", "basket", "entity_id")).union(link(baskets, "basket", "entity_id", "source", "source")).union(link(given, "provision", "p", "answer", "a"))
     return nodes, links
 

@@ -58,3 +58,8 @@ def test_newest_results_by_name(spark, tmp_path):
 def test_graph_shuffles_baskets_once(spark, sf):
     plan = plan_of(registry.QUERIES["qry14_graph"](spark, sf))
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_survivors_read_every_table_once(spark, sf):
+    plan = plan_of(registry.QUERIES["snk09_survivors"](spark, sf))
+    assert plan.count("FileScan parquet") == 5
