@@ -5,6 +5,8 @@ claims), items (a list value: array of structs with idx, concept and amount), nu
 truth; a value is one of items, number or truth. Questions have question, qtype, target
 (entity type), attr and relation; config is that of ``catalog.relation_config``.
 
+Relations, entity types and the routing table are as large as the schema and sent to the tasks.
+
 Where several answers write one id or one attribute, the smallest answer id stands.
 """
 
@@ -37,7 +39,7 @@ def classified(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 def list_types(questions: DataFrame) -> DataFrame:
     """Types that lists create; no single instance of them is made."""
-    return questions.filter("qtype = 'entity_list'").select("target").distinct()
+    return F.broadcast(questions.filter("qtype = 'entity_list'").select("target").distinct())
 
 
 def candidates(rows: DataFrame, questions: DataFrame, config: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def candidates(rows: DataFrame, questions: DataFrame, config: DataFrame) -> Data
     many = rows.filter("phase = 'entities'").select(*keep, F.explode("items").alias("x")).select(*keep, F.col("x.idx").alias("item"), F.col("x.amount").alias("amount"))
     exists = rows.filter((F.col("phase") == "scalar") & (F.col("attr") == EXISTS) & F.col("truth")).join(list_types(questions), "target", "left_anti")
     single = exists.select(*keep, F.lit(None).cast("int").alias("item"), F.lit(None).cast("double").alias("amount"))
-    wired = many.unionByName(single).join(config, "relation", "left")
+    wired = many.unionByName(single).join(F.broadcast(config), "relation", "left")
     named = wired.withColumn("slot", F.coalesce(F.col("item").cast("string"), F.lit("single")))
     return named.withColumn("entity_id", business_id("e_", "provision_id", "target", "slot")).drop("slot")
 
@@ -87,16 +89,18 @@ def attribute_writes(rows: DataFrame, found: DataFrame, questions: DataFrame, ro
     own = found.filter("reason is null and amount is not null").select("answer_id", "provision_id", "target", "entity_id", F.lit("amount").alias("attr"), F.col("amount").alias("value"))
     value = F.coalesce("number", F.col("truth").cast("double"))
     scalar = rows.filter((F.col("phase") == "scalar") & (F.col("attr") != EXISTS)).join(list_types(questions), "target", "left_anti").select("answer_id", "provision_id", "target", "attr", value.alias("value"))
-    chosen = rows.filter("phase = 'multiselect'").select("answer_id", "provision_id", F.explode("items.concept").alias("concept")).join(routing, "concept").select("answer_id", "provision_id", "target", "attr", F.lit(1.0).alias("value"))
-    single = scalar.unionByName(chosen).withColumn("slot", F.lit("single")).withColumn("entity_id", business_id("e_", "provision_id", "target", "slot")).drop("slot")
-    return own.unionByName(single)
+    # An instance's id is worked out once for all attributes that a concept sets on it.
+    routed = F.broadcast(routing.groupBy("concept", "target").agg(F.collect_list("attr").alias("attrs")))
+    chosen = rows.filter("phase = 'multiselect'").select("answer_id", "provision_id", F.explode("items.concept").alias("concept")).join(routed, "concept").select("answer_id", "provision_id", "target", "attrs", F.lit(1.0).alias("value"))
+    named = scalar.withColumn("attrs", F.array("attr")).drop("attr").unionByName(chosen).withColumn("slot", F.lit("single")).withColumn("entity_id", business_id("e_", "provision_id", "target", "slot"))
+    return own.unionByName(named.select("answer_id", "provision_id", "target", "entity_id", F.explode("attrs").alias("attr"), "value"))
 
 
 def stored_attributes(writes: DataFrame, found: DataFrame) -> DataFrame:
     """(entity_id, attr, value): the first write of every attribute on an entity that is there."""
     there = found.filter("reason is null").select("entity_id")
-    first = writes.groupBy("entity_id", "attr").agg(F.min(F.struct("answer_id", "value")).alias("w"))
-    return first.join(there, "entity_id", "left_semi").select("entity_id", "attr", "w.value")
+    first = writes.join(there, "entity_id", "left_semi").groupBy("entity_id", "attr").agg(F.min(F.struct("answer_id", "value")).alias("w"))
+    return first.select("entity_id", "attr", "w.value")
 
 
 def flat_answers(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.plans import registry, retrieval
+from factloom.plans import registry, retrieval, storing
 from factloom.plans.model import Graph
 from factloom.sources import files
 from factloom.sources.snapshots import Snapshots
@@ -63,3 +63,8 @@ def test_graph_shuffles_baskets_once(spark, sf):
 def test_survivors_read_every_table_once(spark, sf):
     plan = plan_of(registry.QUERIES["snk09_survivors"](spark, sf))
     assert plan.count("FileScan parquet") == 5
+
+
+def test_found_entities_are_worked_out_once(spark, sf):
+    found = storing.Storing(Graph(spark, sf)).found
+    assert "FileScan" not in plan_of(found)
