@@ -45,10 +45,13 @@ def list_types(questions: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, questions: DataFrame, config: DataFrame) -> DataFrame:
     """One row an entity to create: the items of lists, and single instances (item null) that an answer says exist; with the storage of its relation, null if unknown."""
     keep = ["answer_id", "provision_id", "target", "relation"]
-    many = rows.filter("phase = 'entities'").select(*keep, F.explode("items").alias("x")).select(*keep, F.col("x.idx").alias("item"), F.col("x.amount").alias("amount"))
-    exists = rows.filter((F.col("phase") == "scalar") & (F.col("attr") == EXISTS) & F.col("truth")).join(list_types(questions), "target", "left_anti")
-    single = exists.select(*keep, F.lit(None).cast("int").alias("item"), F.lit(None).cast("double").alias("amount"))
-    wired = many.unionByName(single).join(F.broadcast(config), "relation", "left")
+    # One pass over the answers: the items of a list, or one item without values.
+    many = F.when(F.col("phase") == "entities", F.transform("items", lambda x: F.struct(x["idx"].alias("item"), x["amount"].alias("amount"))))
+    single = (F.col("phase") == "scalar") & (F.col("attr") == EXISTS) & F.col("truth") & F.col("by_list").isNull()
+    one = F.array(F.struct(F.lit(None).cast("int").alias("item"), F.lit(None).cast("double").alias("amount")))
+    named_by = list_types(questions).withColumn("by_list", F.lit(True))
+    made = rows.join(named_by, "target", "left").select(*keep, F.explode(many.when(single, one)).alias("x")).select(*keep, "x.item", "x.amount")
+    wired = made.join(F.broadcast(config), "relation", "left")
     named = wired.withColumn("slot", F.coalesce(F.col("item").cast("string"), F.lit("single")))
     return named.withColumn("entity_id", business_id("e_", "provision_id", "target", "slot")).drop("slot")
 
@@ -110,12 +113,40 @@ def flat_answers(rows: DataFrame) -> DataFrame:
     return kept.select("answer_id", "provision_id", "question", F.when(listed, F.array_join("items.concept", ", ")).alias("text"), F.when(~listed, F.col("number")).alias("number"), F.when(~listed, F.col("truth")).alias("truth"))
 
 
+def instance_writes(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """(answer_id, provision_id, target, concept): answers that write on single instances of a provision: on that of ``target``, or on all to which ``concept`` is routed. One pass over the answers."""
+    scalar = (F.col("phase") == "scalar") & (F.col("attr") != EXISTS) & F.col("by_list").isNull()
+    concepts = F.when(F.col("phase") == "multiselect", F.col("items.concept")).when(scalar, F.array(F.lit(None).cast("string")))
+    named_by = list_types(questions).withColumn("by_list", F.lit(True))
+    own = F.when(F.col("phase") == "scalar", F.coalesce("target", F.lit(""))).alias("target")
+    return rows.join(named_by, "target", "left").select("answer_id", "provision_id", own, F.explode(concepts).alias("concept"))
+
+
+def lost_instances(writes: DataFrame, found: DataFrame, routing: DataFrame) -> DataFrame:
+    """(answer_id): those of ``instance_writes`` with an instance that is not there.
+
+    Instances are told by their provision and type, of which their ids are made: a write meets the types
+    of its provision once, and no id is worked out for each type that a concept is routed to.
+    """
+    kind = F.coalesce("target", F.lit(""))
+    there = found.filter("reason is null and item is null").groupBy(F.col("provision_id").alias("held_by")).agg(F.collect_set(kind).alias("there"))
+    routed = F.broadcast(routing.groupBy("concept").agg(F.collect_set(kind).alias("targets")))
+    met = writes.join(there, F.col("provision_id").eqNullSafe(F.col("held_by")), "left").join(routed, "concept", "left")
+    wanted = F.when(F.col("target").isNotNull(), F.array("target")).otherwise(F.col("targets"))
+    return met.filter(wanted.isNotNull() & (F.col("there").isNull() | (F.size(F.array_except(wanted, "there")) > 0))).select("answer_id").distinct()
+
+
 def rejected(rows: DataFrame, found: DataFrame, writes: DataFrame) -> DataFrame:
     """(answer_id, item, reason): answers without a fit value, entities that were not created, and writes on an entity that is not there."""
     there = found.filter("reason is null").select("entity_id")
+    return rejects(rows, found, writes.join(there, "entity_id", "left_anti").select("answer_id").distinct())
+
+
+def rejects(rows: DataFrame, found: DataFrame, lost: DataFrame) -> DataFrame:
+    """As ``rejected``, of the answers (answer_id) whose writes are lost."""
     none = F.lit(None).cast("int").alias("item")
-    lost = writes.join(there, "entity_id", "left_anti").select("answer_id", none, F.lit("no entity").alias("reason")).distinct()
-    return rows.filter("reason is not null").select("answer_id", none, "reason").unionByName(found.filter("reason is not null").select("answer_id", "item", "reason")).unionByName(lost)
+    failed = found.filter("reason is not null").select("answer_id", "item", "reason")
+    return rows.filter("reason is not null").select("answer_id", none, "reason").unionByName(failed).unionByName(lost.select("answer_id", none, F.lit("no entity").alias("reason")))
 
 
 def flags(chosen: DataFrame, routing: DataFrame, keys: list[str]) -> DataFrame:

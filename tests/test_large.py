@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import store
 from factloom.plans import registry, retrieval, storing
 from factloom.plans.model import Graph
 from factloom.sources import files
@@ -68,3 +69,32 @@ def test_survivors_read_every_table_once(spark, sf):
 def test_found_entities_are_worked_out_once(spark, sf):
     found = storing.Storing(Graph(spark, sf)).found
     assert "FileScan" not in plan_of(found)
+
+
+def test_rejects_pass_over_the_answers_twice(spark, sf):
+    # Once for the reasons of answers, once for what they write; candidates are made in one more pass, before.
+    plan = plan_of(registry.QUERIES["qry18_rejects"](spark, sf))
+    assert plan.count("events.parquet") == 2 and "sha2" not in plan
+    steps = storing.Storing(Graph(spark, sf))
+    assert plan_of(store.candidates(steps.rows, steps.questions, steps.config)).count("events.parquet") == 1
+
+
+def test_lost_writes_by_type_are_those_by_id(spark):
+    steps = storing.Storing(Graph(spark, "/root/testdata/sf0.01"))
+    by_id = store.rejected(steps.rows, steps.found, steps.writes)
+    by_type = registry.QUERIES["qry18_rejects"](spark, "/root/testdata/sf0.01")
+    assert by_type.count() == by_id.count() > 0 and by_type.exceptAll(by_id).count() == 0
+
+
+def test_lost_instances_of_odd_rows(spark):
+    questions = spark.createDataFrame([("T", "multiselect"), ("L", "entity_list")], "target string, qtype string")
+    routing = spark.createDataFrame([("c", "T", "x"), ("c", "T", "y"), ("d", "T", "x"), ("d", "U", "x"), ("n", None, "x")], "concept string, target string, attr string")
+    found = spark.createDataFrame([(1, "T", None, None), (2, "T", None, "id taken"), (3, "T", 0, None), (None, "T", None, None)], "provision_id long, target string, item int, reason string")
+    listed = lambda i, p, *names: (i, p, "T", "multiselect", "z", [{"concept": c} for c in names])
+    data = [
+        listed(1, 1, "c", "c"), listed(2, 1, "c", "d"), listed(3, 2, "c"), listed(4, 3, "c"), listed(5, None, "c"), listed(6, 1, "unknown", None), listed(7, 1), listed(8, 1, "n"),
+        (9, 1, "T", "scalar", "z", None), (10, 9, "T", "scalar", "z", None), (11, 9, "L", "scalar", "z", None), (12, 9, "T", "scalar", store.EXISTS, None), (13, 9, "T", "scalar", None, None), (14, 1, None, "scalar", "z", None),
+    ]
+    rows = spark.createDataFrame(data, "answer_id long, provision_id long, target string, phase string, attr string, items array<struct<concept: string>>")
+    lost = store.lost_instances(store.instance_writes(rows, questions), found, routing)
+    assert sorted(r[0] for r in lost.collect()) == [2, 3, 4, 8, 10, 14]
