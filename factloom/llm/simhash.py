@@ -338,10 +338,12 @@ def tiled(keyed: DataFrame, weight: Column | None = None) -> DataFrame:
     one whose texts are all of one class has nothing to link and goes. A tile keeps its group's segment in the low four bits."""
     over = F.count(F.lit(1)) / BLOCK_ROWS
     over = over if weight is None else F.greatest(over, F.sum(weight) / BLOCK_HASHES)
-    sizes = keyed.groupBy("g").agg(F.ceil(over).alias("blocks"), (F.min("comp") < F.max("comp")).alias("mixed")).filter("blocks > 1")
-    large = cut_lineage(sizes.select("g", F.when(F.col("mixed"), F.col("blocks")).otherwise(0).alias("blocks")))
-    # A row for each crowded group: sent to the tasks while they are few, joined by shuffle otherwise.
-    dealt = keyed.join(F.broadcast(large) if large.count() <= SENT else large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).filter("blocks > 0")
+    crowded = cut_lineage(keyed.groupBy("g").agg(F.ceil(over).alias("blocks")).filter("blocks > 1"))
+    # A row for each crowded group: sent to the tasks while they are few, joined by shuffle otherwise. Only in these are the classes looked at.
+    few = crowded.count() <= SENT
+    mixed = keyed.select("g", "comp").join(F.broadcast(crowded) if few else crowded, "g").groupBy("g").agg(F.when(F.min("comp") < F.max("comp"), F.max("blocks")).otherwise(0).alias("blocks"))
+    large = cut_lineage(mixed)
+    dealt = keyed.join(F.broadcast(large) if few else large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).filter("blocks > 0")
     met = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     of_two = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(-16)).bitwiseOR(F.col("g").bitwiseAND(F.lit(15)))
     tile = F.when(F.col("blocks") > 1, of_two).otherwise(F.col("g"))
@@ -444,13 +446,42 @@ def candidate_members(prints: DataFrame, similarity: float) -> DataFrame:
     return tiled(keyed).mapInArrow(lambda batches: each_tile(batches, solve, ["g", "node"]), "g long, node long").distinct()
 
 
+def own_pairs(pairs: np.ndarray, tile: int, keys: np.ndarray) -> np.ndarray:
+    """Those of a tile's candidates that meet in no group (``keys`` as of ``group_keys``) of an earlier segment nor, in a tile that is a whole group, in a lower one of its own segment. Candidates are so wherever they meet, hence each is left to one tile, or to a few of one segment."""
+    part, kept = tile & 15, [np.zeros(0, np.int64)]
+    whole = len(keys) > 0 and bool((keys[0, part] == tile).any())
+    for at in range(0, len(pairs), 1 << 16):
+        left = pairs[at : at + (1 << 16)]
+        for q in range(part + whole):
+            x, y = keys[left >> 32, q], keys[left & 0xFFFFFFFF, q]
+            meet = x[:, :, None] == y[:, None, :]
+            if q == part:
+                meet &= (x < tile)[:, :, None]
+            left = left[~meet.any((1, 2))]
+        kept.append(left)
+    return np.concatenate(kept)
+
+
+def own_members(members: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """(g, node): those of ``members`` with a candidate that is the tile's own, so that whole sets are not sent to every tile where a pair meets."""
+
+    def solve(rows: np.ndarray, lists: pa.Array) -> np.ndarray:
+        keys = group_keys(np.ascontiguousarray(rows[5:].T).view(U), lists.flatten().to_numpy().reshape(-1, PARTS).view(U))
+        pairs = own_pairs(tile_pairs(rows, similarity), int(rows[0, 0]), keys)
+        found = rows[2, np.unique(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF]))]
+        return np.stack([np.full(len(found), rows[0, 0]), found])
+
+    known = members.join(prints, "node").select("g", "node", "comp", "n", "a", "b", "c", "d", "least")
+    return tiled(known).mapInArrow(lambda batches: each_tile(batches, solve, ["g", "node"]), "g long, node long").distinct()
+
+
 def candidate_links(prints: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b): links whose classes, with those of ``comp``, are the classes of all candidates of ``prints`` as similar by their whole shingle sets.
 
-    The sets go to the tiles where a text has a candidate and are compared there, so there is no row for a pair:
+    The sets go to the tiles where a text has a candidate of the tile's own and are compared there, so there is no row for a pair:
     a tile gives fewer links than it has texts, however many of its pairs are candidates or similar.
     """
-    members = cut_lineage(candidate_members(prints, similarity))
+    members = cut_lineage(own_members(cut_lineage(candidate_members(prints, similarity)), prints, similarity))
     sets = shingle_sets(members.select("node").distinct(), texts, words)
 
     def solve(rows: np.ndarray, lists: pa.Array) -> np.ndarray:
